@@ -1,0 +1 @@
+"""The row-wise operators applied to a text directory that keeps growing."""
