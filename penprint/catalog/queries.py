@@ -571,19 +571,26 @@ def q_stratified_split(spark, sf):
 
 
 def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Embeddings with their ten classes, divided into train and test rows."""
-    rows = si.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("row_id"),
-        F.col("label").cast("double").alias("label"),
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+    """Function words and sentence statistics of labelled texts, train and test rows."""
+    text = F.col("text")
+    stats = tx.sentence_stats(text)
+    rows = si.labelled(spark, sf, "text").select(
+        F.col("doc_id").alias("row_id"),
+        F.col("quality").cast("double").alias("label"),
+        tx.function_word_freq(text).alias("words"),
+        stats.alias("s"),
+    ).select(
+        "row_id",
+        "label",
+        array_to_vector(F.concat("words", F.array("s.mean", "s.std", "s.min", "s.max"))).alias("features"),
     )
-    divided = materialize(sp.stratified_split(rows, "row_id", "label"))
+    divided = materialize(sp.stratified_split(rows, "row_id", "label"), md.SPLIT_BYTES)
     return divided.where(~F.col("is_test")), divided.where("is_test")
 
 
 def _predict(spark, sf, model: str) -> DataFrame:
     train, test = _vectors(spark, sf)
-    return md.classifier(model, train.count(), 10).fit(train).transform(test).select(
+    return md.classifier(model, train.count(), 2).fit(train).transform(test).select(
         "row_id", "label", "prediction"
     )
 
@@ -606,7 +613,7 @@ def q_random_forest(spark, sf):
 @query
 def q_fit_predict(spark, sf):
     train, test = _vectors(spark, sf)
-    return md.fit_predict(train, test, "random_forest", "row_id", 10)
+    return md.fit_predict(train, test, "random_forest", "row_id", 2)
 
 
 @query

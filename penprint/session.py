@@ -43,16 +43,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "penprint", uuid.uuid4().hex, name)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, split_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where several jobs start from the same result: the written table outlives
-    lost executors and cuts the lineage.
+    lost executors and cuts the lineage. ``split_bytes`` asks for partitions of about
+    that size, for jobs that pass over a table hundreds of times.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if not split_bytes:
+        return table
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(hadoop_path).getLength()
+    return table.coalesce(max(1, -(-size // split_bytes)))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
