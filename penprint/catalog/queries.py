@@ -43,10 +43,10 @@ SYNTAX = [
 ]
 # Motifs that become columns in the pivot query.
 PIVOTED = [
-    "NOUN:pos:ADJ|dep:acl+pos:DET|dep:xcomp+pos:NOUN|dep:obj",
-    "VERB:pos:ADP|dep:obj+pos:DET|dep:acl+pos:DET|dep:xcomp",
-    "ADJ:pos:ADJ|dep:det+pos:DET|dep:advcl+pos:DET|dep:ccomp",
-    "DET:pos:ADJ|dep:advcl+pos:ADJ|dep:det+pos:DET|dep:ccomp",
+    "ADP:pos:PRON|dep:advcl+pos:PRON|dep:ccomp+pos:PRON|dep:det",
+    "ADP:pos:PRON|dep:advcl+pos:PRON|dep:det+pos:PRON|dep:obj",
+    "ADP:pos:PRON|dep:acl+pos:PRON|dep:relcl+pos:PRON|dep:xcomp",
+    "VERB:pos:PRON|dep:advcl+pos:PRON|dep:ccomp+pos:PRON|dep:det",
     "PRON:pos:NOUN|dep:absent",
 ]
 
