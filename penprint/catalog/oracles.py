@@ -146,11 +146,13 @@ IN_TRAIN = f"{HASH} >= 0.2 * 4294967296"
 
 # Character n-grams with repeats, one row per position.
 GRAMS = rf"""flat AS (
-  SELECT doc_id, regexp_replace(lower(text), '{SPACE}{SPACE}+', ' ', 'g') AS t FROM documents),
-spots AS (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS p FROM flat),
+  SELECT doc_id, string_split(regexp_replace(lower(text), '{SPACE}{SPACE}+', ' ', 'g'), '') AS c FROM documents),
 grams AS (
-  SELECT doc_id, substr(t, p, k) AS gram FROM spots, (VALUES (3), (4), (5)) s(k)
-  WHERE p + k - 1 <= length(t))"""
+  SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda p: c[p] || c[p + 1] || c[p + 2])) AS gram FROM flat
+  UNION ALL
+  SELECT doc_id, unnest(list_transform(range(1, len(c) - 2), lambda p: c[p] || c[p + 1] || c[p + 2] || c[p + 3])) FROM flat
+  UNION ALL
+  SELECT doc_id, unnest(list_transform(range(1, len(c) - 3), lambda p: c[p] || c[p + 1] || c[p + 2] || c[p + 3] || c[p + 4])) FROM flat)"""
 
 SCALE = ", ".join(
     f"round((x.{c} - m.{c}_m) / CASE WHEN m.{c}_s = 0 THEN 1 ELSE m.{c}_s END, 6) + 0.0 AS {c}"

@@ -23,11 +23,13 @@ def positions(n: Column) -> Column:
     )
 
 
-def run_starts(values: Column) -> Column:
+def run_starts(ordered: Column) -> Column:
     """Positions at which a new value begins in a sorted array."""
-    return F.filter(
-        positions(F.size(values)),
-        lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)),
+    return bind(
+        ordered,
+        lambda v: F.filter(
+            positions(F.size(v)), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1))
+        ),
     )
 
 
