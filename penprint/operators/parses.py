@@ -76,9 +76,7 @@ def sentence_rows(parses: DataFrame, keep: list[str] = ()) -> DataFrame:
 
     Meant for parses of whole texts (``chunk_id`` 0 everywhere).
     """
-    return parses.select(
-        "text_id", *keep, F.explode("sents").alias("s")
-    ).select(
+    return _explode_sentences(parses, ["text_id", *keep]).where("s.sent_id IS NOT NULL").select(
         "text_id",
         *keep,
         F.col("s.sent_id").alias("chunk_id"),
@@ -87,6 +85,15 @@ def sentence_rows(parses: DataFrame, keep: list[str] = ()) -> DataFrame:
     )
 
 
+def _explode_sentences(parses: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per sentence ``s``, and one with a null ``s`` for a chunk without any.
+
+    The plain explode would make the optimizer test the array's size below, and so
+    compute an array that is not read from a file twice.
+    """
+    return parses.select(*keep, F.explode_outer("sents").alias("s"))
+
+
 def token_table(
     parses: DataFrame, keep: list[str] = (), **arrays: Callable[[Column], Column]
 ) -> DataFrame:
@@ -97,7 +104,7 @@ def token_table(
     """
     s = F.col("s")
     ids = ["text_id", "chunk_id", *keep]
-    staged = parses.select(*ids, F.explode("sents").alias("s")).select(
+    staged = _explode_sentences(parses, ids).select(
         *ids,
         s["sent_id"].alias("sent_id"),
         positions(F.size(s["head"])).alias("token_i"),
