@@ -77,6 +77,8 @@ def expand_motifs(
         ),
     )
     staged = bags.withColumn("_choices", choices).withColumn("_radix", radix)
+    # Without repeated labels every choice is one way, and nothing needs to be counted.
+    staged = staged.withColumn("_plain", F.forall("bag", lambda b: b["n"] == 1))
     blocks = staged.withColumn(
         "_block",
         F.explode(F.sequence(zero, F.shiftright(F.col("_choices") - 1, 12))),
@@ -104,10 +106,15 @@ def expand_motifs(
             "_taken", lambda c, i: F.array_repeat(F.get("bag", i)["value"], c.cast("int"))
         )
     )
-    ways = F.aggregate(
-        F.transform("_taken", lambda c, i: _choose(F.get("bag", i)["n"], c.cast("int"), count_type)),
-        F.lit(1).cast(count_type),
-        lambda acc, w: (acc * w).cast(count_type),
+    single = F.lit(1).cast(count_type)
+    ways = F.when(F.col("_plain"), single).otherwise(
+        F.aggregate(
+            F.transform(
+                "_taken", lambda c, i: _choose(F.get("bag", i)["n"], c.cast("int"), count_type)
+            ),
+            single,
+            lambda acc, w: (acc * w).cast(count_type),
+        )
     )
     return wanted.select(
         "text_id",
