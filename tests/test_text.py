@@ -107,3 +107,24 @@ def test_limit_sentences(spark):
 def test_sentences_are_numbered_through_the_text(spark):
     rows = ch.chunk_sentences(texts(spark, "A b. C!\n\nD? E.")).collect()
     assert [(r.sentence_id, r.text) for r in rows] == [(1, "A b."), (2, "C!"), (3, "D?"), (4, "E.")]
+
+
+def test_row_wise_operators_run_on_a_stream(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("text_id"), F.col("text").alias("raw_text")
+    )
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+
+    def chunks(df):
+        return ch.chunk_texts(ch.clean_texts(df), "window", 50)
+
+    run = (
+        chunks(stream)
+        .writeStream.option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"), format="parquet")
+    )
+    assert run.awaitTermination(60)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.exceptAll(chunks(docs)).isEmpty() and got.count() == chunks(docs).count()
