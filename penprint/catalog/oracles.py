@@ -238,7 +238,7 @@ SELECT doc_id AS text_id, array_to_string(l[first + 1 : len(l) - back], chr(10))
     SELECT 6, 'AI_score', count(DISTINCT toxic) FROM t)
 SELECT row_number() OVER (ORDER BY spot) - 1 AS ordinal, name AS column_name
 FROM (SELECT 0 AS spot, 'author' AS name UNION ALL SELECT spot, name FROM seen WHERE n <= 2)""",
-    "select_numeric_features": """SELECT true AS kept, n_chars, toxic, source = 'src1' AS is_src1
+    "select_numeric_features": """SELECT n_chars, toxic, source = 'src1' AS is_src1
   FROM documents LEFT JOIN labels USING (doc_id)""",
     # chunkers
     "chunk_paragraphs": _with(MESSY)

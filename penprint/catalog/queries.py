@@ -315,7 +315,7 @@ def q_select_numeric_features(spark, sf):
         (F.col("source") == "src1").alias("is_src1"),
     )
     chosen = co.numeric_feature_columns(df, ["quality"])
-    return df.select(F.monotonically_increasing_id().isNotNull().alias("kept"), *chosen)
+    return df.select(*chosen)
 
 
 # --- chunkers ----------------------------------------------------------------------
