@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,17 @@ def build_session(master: str | None = None, app: str = "penprint", **conf: str)
     return builder.getOrCreate()
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="penprint-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Only when the session names none (tests on one machine) is a local folder made.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="penprint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    return spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
