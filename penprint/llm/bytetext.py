@@ -141,3 +141,21 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(1, size):
         h = mix(h * _WORD + hashes[k : k + n])
     return h
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Regroup batches sorted by an integer ``key`` so that no group is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(values, values[-1]))
+        if held and (cut or held[0].column(key)[0].as_py() != values[-1]):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)

@@ -11,8 +11,9 @@
 4. Pairs whose collision-corrected estimate lies far below the threshold are dropped
    (five standard deviations), the rest are confirmed on their full shingle sets.
 5. Confirmed links join into classes. Buckets that still hold several classes are then
-   tried pair by pair between classes, in blocks of bounded size, so no candidate is
-   lost; only pairs that the estimate lets through leave a block.
+   tried between classes, in cells of bounded size, so no candidate is lost: a first pass
+   over registers marks the members that have a likely partner, a second compares their
+   full sets. Only confirmed links leave a cell, never its pairs.
 
 With 40 bands of 5 registers a pair at similarity 0.8 shares no band with probability
 (1 - 0.8**5)**40, about 1e-7.
@@ -23,12 +24,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .bytetext import blank_separated, buffers, mix, shingles, slices, word_hashes, words
+from .bytetext import (
+    blank_separated,
+    mix,
+    shingles,
+    slices,
+    whole_groups,
+    word_hashes,
+    words,
+)
 from .components import components
 
 MANTISSA = 10
@@ -120,10 +128,15 @@ def estimate(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, m: int) -> np.
 
 
 def plausible(agree, n_a, n_b, m: int, percent: int) -> np.ndarray:
-    """False where the estimate lies over five standard deviations below the threshold."""
+    """False where sizes rule a match out, or the estimate lies far below the threshold.
+
+    Far is five standard deviations; 1 / (2 m) allows for elements of small sets that fall
+    into one bucket.
+    """
     t = percent / 100
-    spread = np.sqrt(t * (1 - t) * (1 / m + 1 / np.maximum(np.minimum(n_a, n_b), 1)))
-    return estimate(agree, n_a, n_b, m) >= t - 5 * spread
+    slack = 5 * np.sqrt(t * (1 - t) / m + 1 / (2 * m))
+    sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return sizes & (estimate(agree, n_a, n_b, m) >= t - slack)
 
 
 # --- worker functions --------------------------------------------------------------
@@ -181,59 +194,98 @@ def _likely(m: int, percent: int):
     return run
 
 
-def _confirm(size: int, percent: int):
-    """Keep pairs whose full shingle sets reach the threshold. Runs of one ``a`` reuse its set."""
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            sets = shingle_sets(data, offsets, size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["id", "shingles"],
+            )
+
+    return run
+
+
+def _confirm(percent: int):
+    """Keep pairs whose full shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
-        for batch, data, offsets in slices(batches, "text_b"):
-            ids = batch.column("a").to_pylist()
-            texts = batch.column("text_a")
+        for batch in batches:
             keep = []
-            for i, right in enumerate(shingle_sets(data, offsets, size)):
-                if left is None or ids[i] != last:
-                    last, left = ids[i], shingle_sets(*buffers(texts.slice(i, 1)), size)[0]
+            for a, b in zip(batch.column("s_a"), batch.column("s_b")):
+                left, right = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
                 both = np.concatenate([left, right])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common) and len(both) > 0)
+                keep.append(100 * common >= percent * (len(both) - common) and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _between(m: int, percent: int):
-    """Pairs of different classes within one cell; rows of a cell come one after another."""
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), m)
-        ids, component = frame["id"].to_numpy(), frame["component"].to_numpy()
-        n, side = frame["n"].to_numpy(), frame["side"].to_numpy()
-        found = []
-        for i in range(len(frame) - 1):
-            # side 0 meets side 1 only; side 2 (a block with itself) meets its own kind
-            rest = np.arange(i + 1, len(frame))
-            rest = rest[(component[rest] != component[i]) & ((side[rest] != side[i]) | (side[i] == 2))]
-            if len(rest):
-                agree = (rows[rest] == rows[i]).mean(axis=1)
-                ok = rest[plausible(agree, n[rest], np.full(len(rest), n[i]), m, percent)]
-                found.append((np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])))
-        if not found:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        return pd.DataFrame(
-            {"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}
-        )
+def _meet(side: np.ndarray, component: np.ndarray, i, j) -> np.ndarray:
+    """Side 0 meets side 1; side 2, a block with itself, meets its own kind."""
+    return (component[i] != component[j]) & ((side[i] != side[j]) | (side[i] == 2))
+
+
+def _mark(m: int, percent: int):
+    """Of each cell, the members that have a likely partner in another class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, "cell"):
+            rows = _unpack(batch.column("registers"), m)
+            cell, side, component, n = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "component", "n")
+            )
+            end = np.searchsorted(cell, cell, "right")
+            marked = np.zeros(len(cell), bool)
+            i, lag = np.arange(len(cell)), 1
+            while len(i := i[i + lag < end[i]]):
+                at = i[_meet(side, component, i, i + lag)]
+                for part in np.array_split(at, len(at) // 4096 + 1):
+                    agree = (rows[part] == rows[part + lag]).mean(axis=1)
+                    ok = part[plausible(agree, n[part], n[part + lag], m, percent)]
+                    marked[ok] = marked[ok + lag] = True
+                lag += 1
+            yield batch.select(["cell", "side", "id", "component"]).filter(pa.array(marked))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            for _, part in frame.groupby("cell", sort=False):
-                if held and held[0]["cell"].iloc[0] != part["cell"].iloc[0]:
-                    yield pairs(pd.concat(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield pairs(pd.concat(held))
+    return run
+
+
+def _between(percent: int):
+    """Confirmed links between classes within each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, "cell"):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
+            cell, side, ids, component = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "id", "component")
+            )
+            size = np.array([len(s) for s in sets])
+            left, right = [], []
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            for start, stop in zip(starts, [*starts[1:], len(cell)]):
+                _, code = np.unique(np.concatenate(sets[start:stop]), return_inverse=True)
+                at = np.concatenate([[0], np.cumsum(size[start:stop])])
+                has = np.zeros(code.max() + 1, np.int32)
+                for k in range(stop - start - 1):
+                    rest = np.arange(start + k + 1, stop)
+                    if not _meet(side, component, start + k, rest).any():
+                        continue
+                    has[code[at[k] : at[k + 1]]] = 1
+                    common = np.add.reduceat(has[code[at[k + 1] :]], at[k + 1 : -1] - at[k + 1])
+                    has[code[at[k] : at[k + 1]]] = 0
+                    union = size[start + k] + size[rest] - common
+                    ok = rest[
+                        (100 * common >= percent * union) & _meet(side, component, start + k, rest)
+                    ]
+                    left.append(np.full(len(ok), ids[start + k]))
+                    right.append(ids[ok])
+            if left:
+                pair = [np.concatenate(left), np.concatenate(right)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(*pair)), pa.array(np.maximum(*pair))], ["a", "b"]
+                )
 
     return run
 
@@ -312,50 +364,47 @@ def _links(
         .select("a", F.col("id").alias("b"))
         .distinct()
     )
-    # The texts of all that share a bucket, taken from the corpus once.
+    # The sets of all that share a bucket, made once.
     shared = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
-    candidates = materialize(texts.join(shared, "id", "left_semi").where("text is not null"))
-
-    direct = materialize(_confirmed(_filtered(star, reps, m, percent), candidates, size, percent))
-    first = components(direct)
-    labelled = materialize(
+    candidates = materialize(
+        texts.join(shared, "id", "left_semi")
+        .mapInArrow(_sets(size), "id bigint, shingles binary")
+        .where("length(shingles) > 0")
+    )
+    likely = _pairs_with(star, reps, ["n", "registers"]).mapInArrow(
+        _likely(m, percent), "a bigint, b bigint"
+    )
+    direct = materialize(
+        _pairs_with(materialize(likely), candidates, ["shingles"])
+        .mapInArrow(_confirm(percent), "a bigint, b bigint")
+        .distinct()
+    )
+    labelled = (
         reps.join(shared, "id", "left_semi")
-        .join(first, "id", "left")
+        .join(components(direct), "id", "left")
         .select("id", "n", "registers", F.coalesce("component", "id").alias("component"))
     )
-    rest = materialize(_cross_class(labelled, bands, width, percent))
-    return direct.union(_confirmed(rest, candidates, size, percent))
+    return direct.union(_cross_class(materialize(labelled), candidates, bands, width, percent))
 
 
-def _filtered(pairs: DataFrame, reps: DataFrame, m: int, percent: int) -> DataFrame:
-    def side(name: str) -> DataFrame:
-        return reps.select(
-            F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("registers").alias(f"r_{name}")
-        )
-
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(
-        _likely(m, percent), "a bigint, b bigint"
-    )
-
+def _pairs_with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with the columns of both members, named by first letter and side."""
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     def side(name: str) -> DataFrame:
-        return texts.select(F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
+        return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{c[0]}_{name}") for c in columns])
 
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return (
-        both.select("a", "b", "text_a", "text_b")
-        .mapInArrow(_confirm(size, percent), "a bigint, b bigint")
-        .distinct()
-    )
+    wanted = [f"{c[0]}_{name}" for c in columns for name in "ab"]
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *wanted)
 
 
-def _cross_class(labelled: DataFrame, bands: int, width: int, percent: int) -> DataFrame:
-    """Plausible pairs of different classes that share a bucket, by blocks.
+def _cross_class(
+    labelled: DataFrame, sets: DataFrame, bands: int, width: int, percent: int
+) -> DataFrame:
+    """Confirmed links between different classes that share a bucket.
 
     In a bucket the largest class meets only the others; the others also meet each other.
-    Both are cut into blocks of about ``BLOCK`` rows by a hash of the id.
+    Both are cut into blocks of about ``BLOCK`` rows by a hash of the id, and a cell is
+    one block against another.
     """
     m = bands * width
     keyed = labelled.select("registers", "id", "component").mapInArrow(
@@ -377,39 +426,44 @@ def _cross_class(labelled: DataFrame, bands: int, width: int, percent: int) -> D
             F.ceil((F.col("rows") - F.col("top.c")) / BLOCK).alias("others"),
         )
     )
-    rows = keyed.join(mixed, "key")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    zero = F.lit(0).cast("bigint")
-    upto = lambda n: F.sequence(zero, F.col(n).cast("bigint") - 1)
-    cell = lambda kind, i, j, side: F.struct(
-        F.concat_ws(":", F.col("key").cast("string"), F.lit(kind), i.cast("string"), j.cast("string")).alias("cell"),
-        F.lit(side).alias("side"),
-    )
-    is_main = F.col("component") == F.col("main")
-    cells = F.when(
-        is_main, F.transform(upto("others"), lambda j: cell("m", block("mains"), j, 0))
-    ).otherwise(
-        F.concat(
-            F.transform(upto("mains"), lambda i: cell("m", i, block("others"), 1)),
-            F.transform(
-                upto("others"),
-                lambda j: F.when(
-                    j == block("others"), cell("o", j, j, 2)
-                ).otherwise(
-                    F.when(j > block("others"), cell("o", block("others"), j, 0)).otherwise(
-                        cell("o", j, block("others"), 1)
-                    )
-                ),
-            ),
-        )
+    rows = keyed.join(mixed, "key").select(
+        "key", "id", "component", "mains", "others",
+        (F.col("component") == F.col("main")).alias("is_main"),
+        F.pmod(F.xxhash64("id"), F.when(F.col("component") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).alias("block"),
+    )
+    block = F.col("block")
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
+
+    def cell(kind: str, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("cell"), side.cast("int").alias("side"))
+
+    with_others = F.transform(upto("others"), lambda j: cell("main", block, j, F.lit(0)))
+    with_mains = F.transform(upto("mains"), lambda i: cell("main", i, block, F.lit(1)))
+    among = F.transform(
+        upto("others"),
+        lambda j: cell(
+            "others",
+            F.least(block, j),
+            F.greatest(block, j),
+            F.when(j == block, 2).when(j > block, 0).otherwise(1),
+        ),
     )
+    cells = F.when(F.col("is_main"), with_others).otherwise(F.concat(with_mains, among))
     placed = rows.select("id", "component", F.explode(cells).alias("p")).select(
         "id", "component", "p.cell", "p.side"
     )
-    return (
+    marked = materialize(
         placed.join(labelled.select("id", "n", "registers"), "id")
         .repartition("cell")
         .sortWithinPartitions("cell")
-        .mapInPandas(_between(m, percent), "a bigint, b bigint")
+        .mapInArrow(_mark(m, percent), "cell bigint, side int, id bigint, component bigint")
+    )
+    return (
+        marked.join(sets, "id")
+        .repartition("cell")
+        .sortWithinPartitions("cell")
+        .mapInArrow(_between(percent), "a bigint, b bigint")
         .distinct()
     )
