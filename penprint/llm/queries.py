@@ -10,6 +10,10 @@ from .decontam import contamination
 from .linedup import line_report
 from .minhash import near_duplicates
 from .packing import byte_pair_encoder, pack_documents
+from .perspectives import rotate
+from .quality import quality_report
+from .shards import shard_documents
+from .urlrules import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +33,21 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words_per_shingle=2)
 
 
+@query
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def public_encoder():
     """The encoder of the 50k byte-level vocabulary; its file is a parameter of the query."""
     import public_tokenizers
@@ -41,6 +60,21 @@ def op7_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_encoder())
 
 
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op8_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
 @query
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
