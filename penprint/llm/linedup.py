@@ -10,12 +10,12 @@ earlier line matches it. Earlier means a smaller document id, then a smaller lin
    buckets. Two lines that match share a word there.
 3. A bucket is read in order of line length. Pairs pass a length filter, a positional
    filter and a bound on the overlap from a 32-bit parity signature; none of these loses
-   a match. Repeats of one line give one pair each, with the first of them.
+   a match. Repeats of one line, by a 128-bit hash of its set, refer to the first of them.
 4. What remains is compared on the real words.
 
-In a bucket of more than ``SMALL`` lines a line proposes ``FIRST`` partners at first. Lines
-that are still unmatched after the comparison, and had more, get all of them in a second
-round, so large groups of near copies cost a few pairs per line and nothing is lost.
+In each bucket a line proposes its ``FIRST`` closest earlier partners at first. Lines that
+are still unmatched after the comparison, and had more, get all of them in a second round,
+so large groups of near copies cost a few pairs per line and nothing is lost.
 """
 
 from __future__ import annotations
@@ -23,21 +23,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .bytetext import blank_separated, mix, slices, word_hashes, words
+from .bytetext import blank_separated, mix, slices, whole_groups, word_hashes, words
 
 COUNTERS = 1 << 22
-SMALL, FIRST = 64, 16
+FIRST = 2
+CHUNK = 200_000
 _TOKEN_BITS = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
-ENTRY = "token int, n int, sig bigint, id bigint, line int, pos int, ref_id bigint, ref_line int"
-PAIR = "x_id bigint, x_line int, y_id bigint, y_line int, more boolean, token int"
+# A bucket's row: ``shape`` is the line's size times 2**32 plus the word's place in it,
+# ``sig`` and ``proof`` are hashes of the whole set (``proof`` with the rarest word only).
+# A negative shape marks a repeat of the line (``sig``, ``proof``) = (id, line).
+ENTRY = "token int, shape bigint, sig bigint, proof bigint, id bigint, line int"
+PAIR = "x_id bigint, x_line int, y_id bigint, y_line int, same boolean, more boolean, token int"
 
 
 # --- lines as sets of word hashes --------------------------------------------------
@@ -84,17 +86,33 @@ def overlap_needed(n_x, n_y, percent: int):
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.int64)
+    held, size = [], 0
+
+    def settle() -> None:
+        nonlocal held, size
+        if held:
+            counts[:] += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        held, size = [], 0
+
     for _, data, offsets in slices(batches):
-        tokens = line_sets(data, offsets)[2]
-        counts += np.bincount((tokens % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        starts, ends, _ = words(data, offsets, blank_separated())
+        held.append(_counter(word_hashes(data, starts, ends)))
+        size += len(starts)
+        if size > COUNTERS:
+            settle()
+    settle()
     used = np.flatnonzero(counts)
-    for at in range(0, len(used), 100_000):
-        part = used[at : at + 100_000]
+    for at in range(0, len(used), CHUNK):
+        part = used[at : at + CHUNK]
         yield pa.RecordBatch.from_arrays(
             [pa.array(part.astype(np.int32)), pa.array(counts[part])], ["bucket", "count"]
         )
 
 
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 def rarity_levels(texts: DataFrame) -> np.ndarray:
     """Log-scaled word frequency by hash bucket; its size does not depend on the corpus."""
     totals = (
@@ -117,16 +135,18 @@ def _entries(levels: np.ndarray, percent: int):
                 continue
             n = np.bincount(group, minlength=len(row))
             begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-            parity = np.bitwise_xor.reduceat(
-                np.uint64(1) << (mix(tokens ^ _SALT) >> np.uint64(59)), begin
-            )
-            total = np.add.reduceat(mix(tokens), begin) >> np.uint64(32)
-            sig = ((parity << np.uint64(32)) | total).view(np.int64)
+            mixed = mix(tokens)
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tokens ^ _SALT) >> np.uint64(59)), begin)
+            total = np.add.reduceat(mixed, begin)
+            sig = ((parity << np.uint64(32)) | (total >> np.uint64(32))).view(np.int64)
+            proof = mix(total ^ np.add.reduceat(mix(mixed ^ _SALT), begin)).view(np.int64)
             ids = batch.column("id").to_numpy(zero_copy_only=False)[row]
-            # Repeats within the slice refer to its first such line and send one row each.
-            order = np.lexsort((line, ids, sig, n))
+            # Repeats within the slice name its first such line and send one row each.
+            order = np.lexsort((line, ids, proof, sig, n))
             same = np.zeros(len(order), bool)
-            same[1:] = (sig[order][1:] == sig[order][:-1]) & (n[order][1:] == n[order][:-1])
+            same[1:] = np.logical_and.reduce(
+                [v[order][1:] == v[order][:-1] for v in (proof, sig, n)]
+            )
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             again, first = order[same], order[head[same]]
             lead = np.zeros(len(row), bool)
@@ -134,32 +154,30 @@ def _entries(levels: np.ndarray, percent: int):
             # Prefixes of the others, rarest first.
             use = lead[group]
             tokens, group = tokens[use], group[use]
-            level = levels[(tokens % np.uint64(COUNTERS)).astype(np.int64)]
-            rank = np.lexsort((tokens, level, group))
+            level = levels[_counter(tokens)].astype(np.uint64)
+            if len(row) < 1 << 20:  # line, level and 36 bits of the word in one sort key
+                key = (group.astype(np.uint64) << np.uint64(44)) | (level << np.uint64(36)) | (tokens >> np.uint64(8))
+                rank = np.argsort(key)
+            else:
+                rank = np.lexsort((tokens >> np.uint64(8), level, group))
             tokens, group = tokens[rank], group[rank]
-            pos = np.arange(len(group)) - np.searchsorted(group, group)
+            count = np.bincount(group, minlength=len(row))
+            pos = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
             keep = pos < prefix_length(n[group], percent)
             tokens, group, pos = tokens[keep], group[keep], pos[keep]
-            short = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            none, gone = len(group), len(again)
-            scatter = (mix(again.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            join = lambda a, b, t: pa.array(np.concatenate([a, b]).astype(t))
-            refs = lambda v, t: pa.array(
-                np.concatenate([np.zeros(none, np.int64), v]).astype(t),
-                mask=np.arange(none + gone) < none,
-            )
+            short = (tokens >> np.uint64(8)).astype(np.uint32).view(np.int32)
+            scatter = mix(np.arange(len(again), dtype=np.uint64) + np.uint64(len(tokens))).astype(np.uint32)
+            columns = [
+                (short, scatter.view(np.int32), np.int32),
+                ((n[group] << 32) | pos, np.full(len(again), -1), np.int64),
+                (sig[group], ids[first], np.int64),
+                (np.where(pos == 0, proof[group], 0), line[first], np.int64),
+                (ids[group], ids[again], np.int64),
+                (line[group], line[again], np.int32),
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    join(short, scatter, np.int32),
-                    join(n[group], n[again], np.int32),
-                    join(sig[group], sig[again], np.int64),
-                    join(ids[group], ids[again], np.int64),
-                    join(line[group], line[again], np.int32),
-                    join(pos, np.full(gone, -1), np.int32),
-                    refs(ids[first], np.int64),
-                    refs(line[first], np.int32),
-                ],
-                ["token", "n", "sig", "id", "line", "pos", "ref_id", "ref_line"],
+                [pa.array(np.concatenate([a, b]).astype(t)) for a, b, t in columns],
+                ["token", "shape", "sig", "proof", "id", "line"],
             )
 
     return run
@@ -167,182 +185,194 @@ def _entries(levels: np.ndarray, percent: int):
 
 # --- buckets -----------------------------------------------------------------------
 
+Rows = dict[str, np.ndarray]
 
-class _Rows:
-    """Columns of a run of bucket rows, in order of (token, n, sig, id, line)."""
-
-    NAMES = ("token", "n", "sig", "id", "line", "pos", "probe")
-
-    def __init__(self, columns: dict[str, np.ndarray]):
-        self.c = columns
 
-    def __len__(self) -> int:
-        return len(self.c["token"])
+def _differ(c: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound on how many words only one of two lines has."""
+    return np.bitwise_count((c["sig"][i] ^ c["sig"][j]).view(np.uint64) >> np.uint64(32))
 
-    def take(self, at) -> _Rows:
-        return _Rows({k: v[at] for k, v in self.c.items()})
 
-    @staticmethod
-    def join(parts: list[_Rows]) -> _Rows:
-        return _Rows({k: np.concatenate([p.c[k] for p in parts]) for k in _Rows.NAMES})
-
-
-def _directed(c: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The later line of each pair first; whether they are two lines at all."""
-    later = (c["id"][i] > c["id"][j]) | ((c["id"][i] == c["id"][j]) & (c["line"][i] > c["line"][j]))
-    apart = (c["id"][i] != c["id"][j]) | (c["line"][i] != c["line"][j])
-    return np.where(later, i, j), np.where(later, j, i), apart
-
-
-def _passes(c: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    n_i, n_j = c["n"][i].astype(np.int64), c["n"][j].astype(np.int64)
+def _passes(c: Rows, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """The length, positional and parity filters."""
+    n_i, n_j = c["n"][i], c["n"][j]
     need = overlap_needed(n_i, n_j, percent)
     reach = np.minimum(n_i - c["pos"][i], n_j - c["pos"][j])
-    differ = np.bitwise_count((c["sig"][i] ^ c["sig"][j]).view(np.uint64) >> np.uint64(32))
     size = 100 * np.minimum(n_i, n_j) >= percent * np.maximum(n_i, n_j)
-    return size & (reach >= need) & (differ <= n_i + n_j - 2 * need)
+    return size & (reach >= need) & (_differ(c, i, j) <= n_i + n_j - 2 * need)
 
 
-def _bucket_pairs(rows: _Rows, percent: int, everything: bool) -> pd.DataFrame:
-    """Candidate pairs of whole buckets."""
-    c = rows.c
-    found = []
+def _directed(c: Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The later line of each pair first; pairs of one line with itself are left out."""
+    same = c["id"][i] == c["id"][j]
+    apart = ~same | (c["line"][i] != c["line"][j])
+    i, j, same = i[apart], j[apart], same[apart]
+    later = (c["id"][i] > c["id"][j]) | (same & (c["line"][i] > c["line"][j]))
+    return np.where(later, i, j), np.where(later, j, i)
 
-    def emit(i, j, more=False):
-        x, y, apart = _directed(c, i, j)
-        ok = apart & (c["probe"][x] if everything else True)
-        x, y = x[ok], y[ok]
-        if len(x):
-            found.append(
-                pd.DataFrame(
-                    {"x_id": c["id"][x], "x_line": c["line"][x], "y_id": c["id"][y],
-                     "y_line": c["line"][y], "more": more, "token": c["token"][x]}
-                )
-            )
 
+def _bucket_pairs(c: Rows, percent: int, everything: bool) -> list[tuple]:
+    """Candidates ``(later, earlier, same, more)`` of whole buckets, as row numbers.
+
+    Rows come in the order (token, shape, sig, id, line).
+    """
+    found = []
+    none = np.zeros(0, bool)
     # Repeats of a line: one pair with the first of them, which stands for all.
-    same = np.zeros(len(rows), bool)
-    for k in ("token", "n", "sig"):
-        part = c[k][1:] == c[k][:-1]
-        same[1:] = part if k == "token" else same[1:] & part
-    at = np.arange(len(rows))
+    same = np.zeros(len(c["token"]), bool)
+    same[1:] = np.logical_and.reduce(
+        [c[k][1:] == c[k][:-1] for k in ("token", "shape", "sig", "proof")]
+    )
+    at = np.arange(len(same))
     head = np.maximum.accumulate(np.where(same, 0, at))
-    repeat = at[same & (c["pos"] == 0)]
     if not everything:
-        emit(repeat, head[repeat])
+        again = at[same & (c["pos"] == 0)]
+        x, y = _directed(c, again, head[again])
+        found.append((x, y, np.ones(len(x), bool), np.zeros(len(x), bool)))
+    # Buckets of one line have no pair.
     keep = at[~same]
-    c = {k: v[keep] for k, v in c.items()}
-    total = len(keep)
-    if total < 2:
-        return _frame(found)
-    starts = np.flatnonzero(np.concatenate([[True], c["token"][1:] != c["token"][:-1]]))
-    sizes = np.diff(np.concatenate([starts, [total]]))
-    small = np.repeat(sizes <= SMALL, sizes)
-    end = np.repeat(starts + sizes, sizes)
-    i = np.flatnonzero(small)
-    for lag in range(1, SMALL):
-        i = i[i + lag < end[i]]
-        if not len(i):
-            break
-        ok = i[_passes(c, i, i + lag, percent)]
-        emit(ok, ok + lag)
-    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        _large_bucket(c, start, start + size, percent, everything, emit)
-    return _frame(found)
-
-
-def _large_bucket(c: dict, start: int, stop: int, percent: int, everything: bool, emit) -> None:
-    proposed = np.zeros(stop - start, np.int64)
-    plain, over = [], []
-    low = start
-    for i in range(start + 1, stop):
-        while 100 * int(c["n"][low]) < percent * int(c["n"][i]):
-            low += 1
-        j = np.arange(low, i)
-        j = j[_passes(c, np.full(len(j), i), j, percent)]
+    token = c["token"][keep]
+    alone = np.ones(len(keep), bool)
+    alone[1:] &= token[1:] != token[:-1]
+    alone[:-1] &= token[:-1] != token[1:]
+    keep, token = keep[~alone], token[~alone]
+    if not len(keep):
+        return found
+    end = np.searchsorted(token, token, "right")
+    start = np.searchsorted(token, token, "left")
+    large = end - start > 4 * FIRST + 56
+    left, right = [none.astype(np.int64)], [none.astype(np.int64)]
+    i, lag = np.flatnonzero(~large), 1
+    while len(i := i[i + lag < end[i]]):
+        ok = _passes(c, keep[i], keep[i + lag], percent)
+        left.append(keep[i[ok]])
+        right.append(keep[i[ok] + lag])
+        lag += 1
+    x, y = _directed(c, np.concatenate(left), np.concatenate(right))
+    found.append(_closest(c, x, y, everything))
+    for low in np.unique(start[large]).tolist():
+        found.extend(_large_bucket(c, keep[low : end[low]], percent, everything))
+    return found
+
+
+def _closest(c: Rows, x: np.ndarray, y: np.ndarray, everything: bool) -> tuple:
+    """Of each later line's partners the closest; ``more`` says that others were left."""
+    if everything:
+        x, y = x[c["probe"][x]], y[c["probe"][x]]
+        return x, y, np.zeros(len(x), bool), np.zeros(len(x), bool)
+    order = np.lexsort((y, _differ(c, x, y), x))
+    x, y = x[order], y[order]
+    place = np.arange(len(x)) - np.searchsorted(x, x)
+    total = np.searchsorted(x, x, "right") - np.searchsorted(x, x)
+    keep = place < FIRST
+    return x[keep], y[keep], np.zeros(keep.sum(), bool), (total > FIRST)[keep]
+
+
+def _large_bucket(c: Rows, rows: np.ndarray, percent: int, everything: bool) -> Iterator[tuple]:
+    """A bucket in order of line length, one row against the earlier ones in reach."""
+    far = np.iinfo(np.int64).max
+    best = np.full((FIRST, len(rows)), far)  # distance and number of each row's partners
+    partner = np.zeros((FIRST, len(rows)), np.int64)
+    count = np.zeros(len(rows), np.int64)
+    n = c["n"][rows]
+    low = np.searchsorted(100 * n, percent * n)
+    for k in range(1, len(rows)):
+        j = np.arange(low[k], k)
+        j = j[_passes(c, np.full(len(j), rows[k]), rows[j], percent)]
+        if not len(j):
+            continue
+        here = np.full(len(j), rows[k])
+        x, y = _directed(c, here, rows[j])
         if everything:
-            plain.append((np.full(len(j), i), j))
+            wanted = c["probe"][x]
+            yield x[wanted], y[wanted], np.zeros(wanted.sum(), bool), np.zeros(wanted.sum(), bool)
             continue
-        x, _, _ = _directed(c, np.full(len(j), i), j)
-        mine, theirs = j[x == i], j[x != i]
-        seen = proposed[theirs - start]
-        proposed[theirs - start] += 1
-        proposed[i - start] = len(mine)
-        for part, kept in (
-            (plain, np.concatenate([mine[:FIRST], theirs[seen < FIRST]])),
-            (over, np.concatenate([mine[FIRST : FIRST + 1], theirs[seen == FIRST]])),
-        ):
-            if len(kept):
-                part.append((np.full(len(kept), i), kept))
-    for part, more in ((plain, False), (over, True)):
-        if part:
-            emit(*(np.concatenate(side) for side in zip(*part)), more)
-
-
-def _frame(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    kinds = {"x_id": "int64", "x_line": "int32", "y_id": "int64", "y_line": "int32", "more": "bool", "token": "int32"}
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({k: pd.Series(dtype=t) for k, t in kinds.items()})
+        gap = _differ(c, x, y).astype(np.int64)
+        mine = x == rows[k]
+        near = np.flatnonzero(mine)[np.argsort(gap[mine], kind="stable")[:FIRST]]
+        best[: len(near), k], partner[: len(near), k] = gap[near], y[near]
+        count[k] = mine.sum()
+        other = np.searchsorted(rows, x[~mine])
+        count[other] += 1
+        gap, place = gap[~mine], np.full(len(other), rows[k])
+        for level in range(FIRST):  # insert into each row's sorted list
+            nearer = gap < best[level, other]
+            at = other[nearer]
+            old_gap, old_place = best[level, at].copy(), partner[level, at].copy()
+            best[level, at], partner[level, at] = gap[nearer], place[nearer]
+            gap[nearer], place[nearer] = old_gap, old_place
+    if not everything:
+        for level in range(FIRST):
+            k = np.flatnonzero(best[level] < far)
+            yield rows[k], partner[level, k], np.zeros(len(k), bool), count[k] > FIRST
 
 
 def _buckets(percent: int, everything: bool):
-    def rows_of(batch: pa.RecordBatch) -> _Rows:
-        return _Rows({k: batch.column(k).to_numpy(zero_copy_only=False) for k in _Rows.NAMES})
-
-    def out(frame: pd.DataFrame) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pandas(frame, preserve_index=False).cast(
-            pa.schema([("x_id", pa.int64()), ("x_line", pa.int32()), ("y_id", pa.int64()),
-                       ("y_line", pa.int32()), ("more", pa.bool_()), ("token", pa.int32())])
-        )
+    names = ["token", "shape", "sig", "proof", "id", "line", *(["probe"] if everything else [])]
+
+    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = pa.concat_batches(parts)
+        c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+        if not everything:
+            gone = c["shape"] < 0
+            yield _pair_batch(
+                c["id"][gone], c["line"][gone], c["sig"][gone], c["proof"][gone], True, False, c["token"][gone]
+            )
+        c = {k: v[c["shape"] >= 0] for k, v in c.items()}
+        c["n"], c["pos"] = c["shape"] >> 32, c["shape"] & 0xFFFFFFFF
+        for x, y, same, more in _bucket_pairs(c, percent, everything):
+            if len(x):
+                yield _pair_batch(
+                    c["id"][x], c["line"][x], c["id"][y], c["line"][y], same, more, c["token"][x]
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[_Rows] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            known = pc.is_valid(batch.column("ref_id"))
-            through = batch.filter(known)
-            if through.num_rows and not everything:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[through.column(k) for k in ("id", "line", "ref_id", "ref_line")],
-                        pa.array(np.zeros(through.num_rows, bool)),
-                        through.column("token"),
-                    ],
-                    ["x_id", "x_line", "y_id", "y_line", "more", "token"],
-                )
-            rows = rows_of(batch.filter(pc.invert(known)))
-            if not len(rows):
-                continue
-            tokens = rows.c["token"]
-            cut = int(np.searchsorted(tokens, tokens[-1]))
-            if cut or held and held[0].c["token"][0] != tokens[-1]:
-                whole = _Rows.join([*held, rows.take(slice(0, cut))])
-                held = []
-                yield out(_bucket_pairs(whole, percent, everything))
-            held.append(rows.take(slice(cut, None)))
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in whole_groups(batches, "token"):
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK:
+                yield from pairs(held)
+                held, size = [], 0
         if held:
-            yield out(_bucket_pairs(_Rows.join(held), percent, everything))
+            yield from pairs(held)
 
     return run
 
 
+def _pair_batch(x_id, x_line, y_id, y_line, same, more, token) -> pa.RecordBatch:
+    size = len(x_id)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(x_id),
+            pa.array(x_line),
+            pa.array(y_id),
+            pa.array(y_line.astype(np.int32)),
+            pa.array(np.broadcast_to(same, size)),
+            pa.array(np.broadcast_to(more, size)),
+            pa.array(token),
+        ],
+        ["x_id", "x_line", "y_id", "y_line", "same", "more", "token"],
+    )
+
+
 # --- verification ------------------------------------------------------------------
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts, lines = (batch.column(k) for k in ("id", "text", "lines"))
-        for i in range(batch.num_rows):
-            parts = texts[i].as_py().split("\n")
-            wanted = [k for k in lines[i].as_py() if k < len(parts)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[i].as_py()] * len(wanted), pa.int64()),
-                    pa.array(wanted, pa.int32()),
-                    pa.array([parts[k] for k in wanted], pa.string()),
-                ],
-                ["id", "line", "words"],
-            )
+    for batch, _, _ in slices(batches):
+        keys, numbers, found = [], [], []
+        for key, text, lines in zip(*(batch.column(k).to_pylist() for k in ("id", "text", "lines"))):
+            parts = text.split("\n")
+            wanted = [k for k in lines if k < len(parts)]
+            keys += [key] * len(wanted)
+            numbers += wanted
+            found += [parts[k] for k in wanted]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(found, pa.string())],
+            ["id", "line", "words"],
+        )
 
 
 def _word_set(line: str) -> set[bytes]:
@@ -407,15 +437,17 @@ def repeated_lines(
     ).where("id is not null and text is not null")
     levels = rarity_levels(texts)
     entries = texts.mapInArrow(_entries(levels, percent), ENTRY)
-    order = ["token", "n", "sig", "id", "line"]
+    order = ["token", "shape", "sig", "id", "line"]
     pairs = materialize(
-        entries.withColumn("probe", F.lit(True))
-        .repartition("token")
+        entries.repartition("token")
         .sortWithinPartitions(*order)
         .mapInArrow(_buckets(percent, False), PAIR)
     )
-    first = materialize(_verified(pairs, texts, percent))
-    removed = first.select(F.col("x_id").alias("id"), F.col("x_line").alias("line")).distinct()
+    # Equal 128-bit hashes of the whole set are repeats; the rest is compared on its words.
+    near = _verified(pairs.where("not same"), texts, percent).select("x_id", "x_line")
+    removed = materialize(
+        pairs.where("same").select("x_id", "x_line").union(near).distinct().toDF("id", "line")
+    )
     open_ = materialize(
         pairs.where("more")
         .select(F.col("x_id").alias("id"), F.col("x_line").alias("line"), "token")
@@ -425,7 +457,7 @@ def repeated_lines(
     if open_.isEmpty():
         return removed
     again = (
-        entries.where("ref_id is null")
+        entries.where("shape >= 0")
         .join(open_.select("token").distinct(), "token", "left_semi")
         .join(open_.withColumn("probe", F.lit(True)), ["id", "line", "token"], "left")
         .withColumn("probe", F.coalesce("probe", F.lit(False)))

@@ -11,7 +11,7 @@ _BLANK = r"[\x20\x09-\x0D]+"
 
 ORACLES["op2_line_frequency"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_BLANK}'), x -> x <> '') AS words FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_BLANK}'), lambda x: x <> '') AS words FROM d),
 windows AS (
     SELECT r, i, words[i:i+4] AS win FROM (
         SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
@@ -93,15 +93,15 @@ p AS (SELECT *, strlen(text) + 1 AS size, hash % 4096 AS vslot FROM d),
 sizes AS (SELECT s.range AS vslot, coalesce(sum(size), 0)::BIGINT AS bytes FROM range(4096) s LEFT JOIN p ON p.vslot = s.range GROUP BY 1),
 ordered AS MATERIALIZED (SELECT list({v: vslot, b: bytes} ORDER BY bytes DESC, vslot) AS l FROM sizes),
 deal(i, vslot, shard, loads) AS (
-    SELECT 0, -1::BIGINT, -1, list_transform(range(16), x -> 0::BIGINT)
+    SELECT 0, -1::BIGINT, -1, list_transform(range(16), lambda x: 0::BIGINT)
     UNION ALL
     SELECT i + 1, l[i + 1].v, list_position(loads, list_min(loads))::INTEGER - 1,
-        list_transform(loads, (x, k) -> CASE WHEN k = list_position(loads, list_min(loads)) THEN x + l[i + 1].b ELSE x END)
+        list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + l[i + 1].b ELSE x END)
     FROM deal, ordered WHERE i < 4096),
 crc AS (
     SELECT r, xor(4294967295::UBIGINT, list_reduce(
-        list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), h -> ('0x' || h)::UBIGINT)),
-        (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM d, tab)
+        list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM d, tab)
 SELECT doc_id, size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard,
     row_number() OVER (PARTITION BY shard ORDER BY vslot, hash, doc_id, crc, size) - 1 AS slot,
     NULL::INTEGER AS grown_shard, vslot
@@ -129,10 +129,10 @@ WITH RECURSIVE
 w AS (
     SELECT doc_id, list_filter(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'),
-        x -> x <> '') AS words FROM documents),
+        lambda x: x <> '') AS words FROM documents),
 s AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 2 THEN [words]
-        ELSE list_transform(range(1, len(words)), i -> words[i:i+1]) END) AS g
+        ELSE list_transform(range(1, len(words)), lambda i: words[i:i+1]) END) AS g
     FROM w WHERE len(words) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 both_ AS (
@@ -154,10 +154,10 @@ WITH lowered AS (
 w AS (
     SELECT kind, id, row_number() OVER () AS r, list_filter(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM lowered),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM lowered),
 wins AS (
     SELECT DISTINCT id AS item, win, len(win) AS m FROM (
-        SELECT id, unnest(list_transform(range(1, greatest(len(words) - 9, 1) + 1), i -> words[i:i+9])) AS win
+        SELECT id, unnest(list_transform(range(1, greatest(len(words) - 9, 1) + 1), lambda i: words[i:i+9])) AS win
         FROM w WHERE kind = 'b' AND len(words) > 0 AND id IS NOT NULL)),
 spots AS (
     SELECT r, i, m, words[i:i + m - 1] AS win FROM (
@@ -179,7 +179,7 @@ WITH s AS (
     FROM documents),
 t AS (
     SELECT doc_id, k, list_distinct(list_filter(regexp_split_to_array(
-        translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'), x -> x <> '')) AS l FROM s),
+        translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'), lambda x: x <> '')) AS l FROM s),
 sets AS (SELECT list_sort(l) AS l, len(l) AS n, min((doc_id, k)) AS first FROM t WHERE len(l) > 0 GROUP BY 1, 2),
 ids AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM sets),
 tokens AS MATERIALIZED (SELECT r, n, unnest(l) AS w FROM ids),

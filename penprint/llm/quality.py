@@ -73,7 +73,7 @@ def measures(text: Column) -> dict[str, Column]:
         "word_chars": _without(full, BLANKS).cast("bigint"),
         "n_symbols": (F.length(full) - _without(full, SYMBOLS)).cast("bigint"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
-        "n_repeat_words": _let(words, repeated_words),
+        "n_repeat_words": _let(words, lambda w: repeated_words(w)),
     }
 
 
