@@ -101,7 +101,7 @@ deal(i, vslot, shard, loads) AS (
 crc AS (
     SELECT r, xor(4294967295::UBIGINT, list_reduce(
         list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::UBIGINT)),
-        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM d, tab)
+        lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT]))) AS crc FROM d, tab)
 SELECT doc_id, size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard,
     row_number() OVER (PARTITION BY shard ORDER BY vslot, hash, doc_id, crc, size) - 1 AS slot,
     NULL::INTEGER AS grown_shard, vslot

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytecnn import quality_scores
 from .decontam import contamination
 from .linedup import line_report
 from .minhash import near_duplicates
@@ -43,6 +44,11 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(_table(spark, sf_dir, "conversations"))
 
 
+@query
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
