@@ -9,8 +9,8 @@ earlier line matches it. Earlier means a smaller document id, then a smaller lin
 2. Every line sends its prefix, the ``n - ceil(t * n) + 1`` rarest words, to the words'
    buckets. Two lines that match share a word there.
 3. A bucket is read in order of line length. Pairs pass a length filter, a positional
-   filter and a bound on the overlap from a 32-bit parity signature; none of these loses
-   a match. Repeats of one line, by a 128-bit hash of its set, refer to the first of them.
+   filter and a bound on the overlap from parity signatures; none of these loses
+   a match. Repeats of one line, by hashes of its set, refer to the first of them.
 4. What remains is compared on the real words.
 
 In each bucket a line proposes its ``FIRST`` closest earlier partners at first. Lines that
@@ -30,14 +30,17 @@ from ..session import materialize
 from .bytetext import blank_separated, mix, slices, whole_groups, word_hashes, words
 
 COUNTERS = 1 << 22
-FIRST = 2
+FIRST, SMALL = 2, 64
 CHUNK = 200_000
 _TOKEN_BITS = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
-# A bucket's row: ``shape`` is the line's size times 2**32 plus the word's place in it,
-# ``sig`` and ``proof`` are hashes of the whole set (``proof`` with the rarest word only).
+# A bucket's row: ``shape`` packs the line's size, the word's place in it and some bits of
+# the set's hash. ``sig`` is the set's 64-bit parity. ``proof`` is half of a 128-bit parity
+# for lines of more than ``LONG`` words; for others the set's hash, with the rarest word only.
 # A negative shape marks a repeat of the line (``sig``, ``proof``) = (id, line).
+LONG = 100
+_PLACE_BITS, _HASH_BITS = 22, 17
 ENTRY = "token int, shape bigint, sig bigint, proof bigint, id bigint, line int"
 PAIR = "x_id bigint, x_line int, y_id bigint, y_line int, same boolean, more boolean, token int"
 
@@ -127,6 +130,10 @@ def rarity_levels(texts: DataFrame) -> np.ndarray:
     return levels
 
 
+def _shape(n: np.ndarray, pos: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return (n << (_PLACE_BITS + _HASH_BITS)) | (pos << _HASH_BITS) | part
+
+
 def _entries(levels: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
@@ -136,16 +143,20 @@ def _entries(levels: np.ndarray, percent: int):
             n = np.bincount(group, minlength=len(row))
             begin = np.concatenate([[0], np.cumsum(n)])[:-1]
             mixed = mix(tokens)
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tokens ^ _SALT) >> np.uint64(59)), begin)
-            total = np.add.reduceat(mixed, begin)
-            sig = ((parity << np.uint64(32)) | (total >> np.uint64(32))).view(np.int64)
-            proof = mix(total ^ np.add.reduceat(mix(mixed ^ _SALT), begin)).view(np.int64)
+            bit = mix(tokens ^ _SALT) >> np.uint64(57)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            folded = np.bitwise_xor.reduceat(one, begin)
+            upper = np.bitwise_xor.reduceat(np.where(bit > 63, one, np.uint64(0)), begin)
+            whole = mix(np.add.reduceat(mixed, begin) ^ np.add.reduceat(mix(mixed ^ _SALT), begin))
+            sig, long_ = folded.view(np.int64), n > LONG
+            proof = np.where(long_, upper, whole).view(np.int64)
+            part = (whole & np.uint64((1 << _HASH_BITS) - 1)).astype(np.int64)
             ids = batch.column("id").to_numpy(zero_copy_only=False)[row]
             # Repeats within the slice name its first such line and send one row each.
-            order = np.lexsort((line, ids, proof, sig, n))
+            order = np.lexsort((line, ids, whole, sig, n))
             same = np.zeros(len(order), bool)
             same[1:] = np.logical_and.reduce(
-                [v[order][1:] == v[order][:-1] for v in (proof, sig, n)]
+                [v[order][1:] == v[order][:-1] for v in (whole, sig, n)]
             )
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             again, first = order[same], order[head[same]]
@@ -169,9 +180,9 @@ def _entries(levels: np.ndarray, percent: int):
             scatter = mix(np.arange(len(again), dtype=np.uint64) + np.uint64(len(tokens))).astype(np.uint32)
             columns = [
                 (short, scatter.view(np.int32), np.int32),
-                ((n[group] << 32) | pos, np.full(len(again), -1), np.int64),
+                (_shape(n[group], pos, part[group]), np.full(len(again), -1), np.int64),
                 (sig[group], ids[first], np.int64),
-                (np.where(pos == 0, proof[group], 0), line[first], np.int64),
+                (np.where(long_[group] | (pos == 0), proof[group], 0), line[first], np.int64),
                 (ids[group], ids[again], np.int64),
                 (line[group], line[again], np.int32),
             ]
@@ -189,17 +200,27 @@ Rows = dict[str, np.ndarray]
 
 
 def _differ(c: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """A lower bound on how many words only one of two lines has."""
-    return np.bitwise_count((c["sig"][i] ^ c["sig"][j]).view(np.uint64) >> np.uint64(32))
+    """A lower bound on how many words only one of two lines has.
+
+    Words that both have cancel out in the exclusive or of the parities.
+    """
+    sig = (c["sig"][i] ^ c["sig"][j]).view(np.uint64)
+    bound = np.bitwise_count(sig).astype(np.int64)
+    both = np.flatnonzero((c["n"][i] > LONG) & (c["n"][j] > LONG))
+    if len(both):
+        upper = (c["proof"][i[both]] ^ c["proof"][j[both]]).view(np.uint64)
+        bound[both] = np.bitwise_count(upper) + np.bitwise_count(sig[both] ^ upper)
+    return bound
 
 
 def _passes(c: Rows, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """The length, positional and parity filters."""
+    """Which pairs pass the positional and the parity filter."""
     n_i, n_j = c["n"][i], c["n"][j]
     need = overlap_needed(n_i, n_j, percent)
-    reach = np.minimum(n_i - c["pos"][i], n_j - c["pos"][j])
-    size = 100 * np.minimum(n_i, n_j) >= percent * np.maximum(n_i, n_j)
-    return size & (reach >= need) & (_differ(c, i, j) <= n_i + n_j - 2 * need)
+    ok = np.flatnonzero(np.minimum(n_i - c["pos"][i], n_j - c["pos"][j]) >= need)
+    out = np.zeros(len(i), bool)
+    out[ok] = _differ(c, i[ok], j[ok]) <= (n_i + n_j - 2 * need)[ok]
+    return out
 
 
 def _directed(c: Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,10 +261,12 @@ def _bucket_pairs(c: Rows, percent: int, everything: bool) -> list[tuple]:
         return found
     end = np.searchsorted(token, token, "right")
     start = np.searchsorted(token, token, "left")
-    large = end - start > 4 * FIRST + 56
+    large = end - start > SMALL
     left, right = [none.astype(np.int64)], [none.astype(np.int64)]
+    n = c["n"][keep]
     i, lag = np.flatnonzero(~large), 1
-    while len(i := i[i + lag < end[i]]):
+    # Lines of a bucket come by size, so a line is done at the first that is too long.
+    while len(i := i[i + lag < end[i]]) and len(i := i[100 * n[i] >= percent * n[i + lag]]):
         ok = _passes(c, keep[i], keep[i + lag], percent)
         left.append(keep[i[ok]])
         right.append(keep[i[ok] + lag])
@@ -319,7 +342,8 @@ def _buckets(percent: int, everything: bool):
                 c["id"][gone], c["line"][gone], c["sig"][gone], c["proof"][gone], True, False, c["token"][gone]
             )
         c = {k: v[c["shape"] >= 0] for k, v in c.items()}
-        c["n"], c["pos"] = c["shape"] >> 32, c["shape"] & 0xFFFFFFFF
+        c["n"] = c["shape"] >> (_PLACE_BITS + _HASH_BITS)
+        c["pos"] = (c["shape"] >> _HASH_BITS) & ((1 << _PLACE_BITS) - 1)
         for x, y, same, more in _bucket_pairs(c, percent, everything):
             if len(x):
                 yield _pair_batch(
@@ -443,7 +467,7 @@ def repeated_lines(
         .sortWithinPartitions(*order)
         .mapInArrow(_buckets(percent, False), PAIR)
     )
-    # Equal 128-bit hashes of the whole set are repeats; the rest is compared on its words.
+    # Lines of equal size, parity and set hash are repeats; the rest is compared on its words.
     near = _verified(pairs.where("not same"), texts, percent).select("x_id", "x_line")
     removed = materialize(
         pairs.where("same").select("x_id", "x_line").union(near).distinct().toDF("id", "line")
