@@ -12,6 +12,7 @@ from .linedup import line_report
 from .minhash import near_duplicates
 from .packing import byte_pair_encoder, pack_documents
 from .perspectives import rotate
+from .pii import personal_data_report
 from .quality import quality_report
 from .shards import shard_documents
 from .urlrules import judge_urls
@@ -39,6 +40,11 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(_table(spark, sf_dir, "conversations"))
