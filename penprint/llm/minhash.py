@@ -130,11 +130,12 @@ def estimate(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, m: int) -> np.
 def plausible(agree, n_a, n_b, m: int, percent: int) -> np.ndarray:
     """False where sizes rule a match out, or the estimate lies far below the threshold.
 
-    Far is five standard deviations; 1 / (2 m) allows for elements of small sets that fall
-    into one bucket.
+    Far is five standard deviations; the second term allows for elements of small sets
+    that fall into one bucket.
     """
     t = percent / 100
-    slack = 5 * np.sqrt(t * (1 - t) / m + 1 / (2 * m))
+    crowding = np.minimum(1, m / (4 * np.maximum(np.minimum(n_a, n_b), 1)))
+    slack = 5 * np.sqrt(t * (1 - t) / m + crowding / (2 * m))
     sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     return sizes & (estimate(agree, n_a, n_b, m) >= t - slack)
 
@@ -175,9 +176,14 @@ def _bands(bands: int, width: int):
             keys = band_keys(_unpack(batch.column("registers"), bands * width), bands, width)
             every = np.repeat(np.arange(batch.num_rows), bands)
             others = [c for c in batch.schema.names if c != "registers"]
+            number = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1).view(np.int64)), *[batch.column(c).take(pa.array(every)) for c in others]],
-                ["key", *others],
+                [
+                    pa.array(keys.reshape(-1).view(np.int64)),
+                    pa.array(number),
+                    *[batch.column(c).take(pa.array(every)) for c in others],
+                ],
+                ["key", "band", *others],
             )
 
     return run
@@ -228,14 +234,19 @@ def _meet(side: np.ndarray, component: np.ndarray, i, j) -> np.ndarray:
     return (component[i] != component[j]) & ((side[i] != side[j]) | (side[i] == 2))
 
 
-def _mark(m: int, percent: int):
-    """Of each cell, the members that have a likely partner in another class."""
+def _mark(bands: int, width: int, percent: int):
+    """Of each cell, the members that have a likely partner in another class.
+
+    A pair counts in the first band that it shares, not in every one.
+    """
+    m = bands * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, "cell"):
             rows = _unpack(batch.column("registers"), m)
-            cell, side, component, n = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "component", "n")
+            cell, side, component, n, band = (
+                batch.column(c).to_numpy(zero_copy_only=False)
+                for c in ("cell", "side", "component", "n", "band")
             )
             end = np.searchsorted(cell, cell, "right")
             marked = np.zeros(len(cell), bool)
@@ -243,8 +254,10 @@ def _mark(m: int, percent: int):
             while len(i := i[i + lag < end[i]]):
                 at = i[_meet(side, component, i, i + lag)]
                 for part in np.array_split(at, len(at) // 4096 + 1):
-                    agree = (rows[part] == rows[part + lag]).mean(axis=1)
-                    ok = part[plausible(agree, n[part], n[part + lag], m, percent)]
+                    agree = rows[part] == rows[part + lag]
+                    shared = agree.reshape(len(part), bands, width).all(axis=2).argmax(axis=1)
+                    likely = plausible(agree.mean(axis=1), n[part], n[part + lag], m, percent)
+                    ok = part[likely & (shared == band[part])]
                     marked[ok] = marked[ok + lag] = True
                 lag += 1
             yield batch.select(["cell", "side", "id", "component"]).filter(pa.array(marked))
@@ -356,7 +369,7 @@ def _links(
 ) -> DataFrame:
     """Confirmed links ``(a, b)`` between representatives."""
     m = bands * width
-    keyed = reps.select("id", "registers").mapInArrow(_bands(bands, width), "key bigint, id bigint")
+    keyed = reps.select("id", "registers").mapInArrow(_bands(bands, width), "key bigint, band int, id bigint")
     leaders = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most"))
     star = materialize(
         keyed.join(leaders.where("a < most"), "key")
@@ -406,9 +419,8 @@ def _cross_class(
     Both are cut into blocks of about ``BLOCK`` rows by a hash of the id, and a cell is
     one block against another.
     """
-    m = bands * width
     keyed = labelled.select("registers", "id", "component").mapInArrow(
-        _bands(bands, width), "key bigint, id bigint, component bigint"
+        _bands(bands, width), "key bigint, band int, id bigint, component bigint"
     )
     sizes = keyed.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = (
@@ -427,7 +439,7 @@ def _cross_class(
         )
     )
     rows = keyed.join(mixed, "key").select(
-        "key", "id", "component", "mains", "others",
+        "key", "band", "id", "component", "mains", "others",
         (F.col("component") == F.col("main")).alias("is_main"),
         F.pmod(F.xxhash64("id"), F.when(F.col("component") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).alias("block"),
     )
@@ -451,14 +463,14 @@ def _cross_class(
         ),
     )
     cells = F.when(F.col("is_main"), with_others).otherwise(F.concat(with_mains, among))
-    placed = rows.select("id", "component", F.explode(cells).alias("p")).select(
-        "id", "component", "p.cell", "p.side"
+    placed = rows.select("id", "band", "component", F.explode(cells).alias("p")).select(
+        "id", "band", "component", "p.cell", "p.side"
     )
     marked = materialize(
         placed.join(labelled.select("id", "n", "registers"), "id")
         .repartition("cell")
         .sortWithinPartitions("cell")
-        .mapInArrow(_mark(m, percent), "cell bigint, side int, id bigint, component bigint")
+        .mapInArrow(_mark(bands, width, percent), "cell bigint, side int, id bigint, component bigint")
     )
     return (
         marked.join(sets, "id")
