@@ -36,8 +36,8 @@ class Network:
 def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts padded with zero bytes to whole blocks, and the first block of each text.
 
-    Every text gets a block at least and ``WIDTH - 1`` zero bytes behind it, so no filter
-    reads into the next text.
+    Every text gets a block at least and ``WIDTH - 1`` zero bytes behind it. The places that
+    start there read into the next text; :func:`hide` takes them out.
     """
     size = np.diff(offsets)
     count = -(-(size + WIDTH - 1) // BLOCK)
@@ -48,7 +48,15 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, first
 
 
-def responses(net: Network, padded: np.ndarray, step: int = 256) -> np.ndarray:
+def hide(values: np.ndarray, first: np.ndarray, low: int) -> None:
+    """No response at the last places of a text; ``values`` start at block ``low``."""
+    ends = first[1:] * BLOCK - low * BLOCK
+    last = ends[(ends > 0) & (ends <= len(values))]
+    for k in range(1, WIDTH):
+        values[last - k] = -1e30
+
+
+def responses(net: Network, padded: np.ndarray, first: np.ndarray, step: int = 256) -> np.ndarray:
     """The largest response of each filter in each block."""
     total = (len(padded) - WIDTH) // BLOCK
     best = np.empty((total, FILTERS), np.float32)
@@ -61,6 +69,7 @@ def responses(net: Network, padded: np.ndarray, step: int = 256) -> np.ndarray:
         for k in range(1, WIDTH):
             np.take(net.tables[k], padded[a + k : a + k + n], axis=0, out=one[:n], mode="clip")
             sum_[:n] += one[:n]
+        hide(sum_[:n], first, low)
         best[low:high] = sum_[:n].reshape(high - low, BLOCK, FILTERS).max(axis=1)
     return best
 
@@ -77,7 +86,7 @@ def chunk_rows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     padded, first = blocks(data, offsets)
-    best = responses(net, padded)
+    best = responses(net, padded, first)
     left, right, bounds = chunk_rows(first)
     hidden = np.maximum(np.maximum(best[left], best[right]) + net.bias, 0)
     logit = np.add.reduceat((hidden @ net.out).astype(np.float64), bounds[:-1]) / np.diff(bounds)
@@ -131,7 +140,9 @@ def _gradients(net: Network, texts: list[bytes], y: np.ndarray) -> list[np.ndarr
     for low in range(0, total, 256):
         high = min(low + 256, total)
         a, n = low * BLOCK, (high - low) * BLOCK
-        value = sum(net.tables[k][padded[a + k : a + k + n]] for k in range(WIDTH)).reshape(-1, BLOCK, FILTERS)
+        value = sum(net.tables[k][padded[a + k : a + k + n]] for k in range(WIDTH))
+        hide(value, first, low)
+        value = value.reshape(-1, BLOCK, FILTERS)
         at = value.argmax(axis=1)
         best[low:high] = np.take_along_axis(value, at[:, None], axis=1)[:, 0]
         where[low:high] = at + (np.arange(low, high) * BLOCK)[:, None]

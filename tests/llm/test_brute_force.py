@@ -26,8 +26,9 @@ def test_histogram_packing_is_whole_and_tight(counts):
         for n in content:
             seen[n] = seen.get(n, 0) + many
     assert seen == {n: c for n, c in counts.items() if c}
+    # No two sequences could be one, so they are more than half full on average.
     volume = math.ceil(sum(n * c for n, c in counts.items()) / 60)
-    assert volume <= sum(m for m, _ in patterns) <= 1.7 * volume + 1
+    assert volume <= sum(m for m, _ in patterns) <= 2 * volume + 1
     table = place_table(patterns)
     assert len(set(zip(table["sequence"].tolist(), table["offset"].tolist()))) == len(table["length"])
 
@@ -215,6 +216,7 @@ def test_network_reads_the_whole_text():
         count = -(-(len(text) + WIDTH - 1) // 256)
         padded = np.frombuffer(text.ljust(count * 256 + WIDTH, b"\0"), np.uint8)
         value = np.array([sum(net.tables[k][padded[i + k]] for k in range(WIDTH)) for i in range(count * 256)])
+        value[-(WIDTH - 1) :] = -np.inf
         best = value.reshape(count, 256, 16).max(axis=1)
         chunks = [np.maximum(best[i], best[i + 1]) for i in range(count - 1)] or [best[0]]
         logit = np.mean([np.maximum(c, 0) @ net.out for c in chunks]) + 0.1
