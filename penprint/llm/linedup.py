@@ -14,8 +14,9 @@ earlier line matches it. Earlier means a smaller document id, then a smaller lin
 4. What remains is compared on the real words.
 
 In each bucket a line proposes its ``FIRST`` closest earlier partners at first. Lines that
-are still unmatched after the comparison, and had more, get all of them in a second round,
-so large groups of near copies cost a few pairs per line and nothing is lost.
+are still unmatched after the comparison, and had more, meet their whole bucket in a second
+round, in cells of bounded size that compare full sets and emit only the lines that match.
+So large groups of near copies cost a few pairs per line and nothing is lost.
 """
 
 from __future__ import annotations
@@ -27,13 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .bytetext import blank_separated, mix, slices, whole_groups, word_hashes, words
+from .bytetext import (
+    blank_separated,
+    buffers,
+    mix,
+    slices,
+    whole_groups,
+    word_hashes,
+    words,
+)
 
 COUNTERS = 1 << 22
-FIRST, SMALL = 2, 64
-CHUNK = 200_000
-_TOKEN_BITS = np.uint64(44)
-_LOW = np.uint64((1 << 44) - 1)
+FIRST, SMALL, BLOCK = 2, 1024, 512
+CHUNK, POOL = 200_000, 1_000_000
+_TOKEN_BITS, _LEVEL_BITS = 38, 6
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 # A bucket's row: ``shape`` packs the line's size, the word's place in it and some bits of
 # the set's hash. ``sig`` is the set's 64-bit parity. ``proof`` is half of a 128-bit parity
@@ -42,17 +50,18 @@ _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 LONG = 100
 _PLACE_BITS, _HASH_BITS = 22, 17
 ENTRY = "token int, shape bigint, sig bigint, proof bigint, id bigint, line int"
+# A proposed pair; without ``y`` a member of a bucket in which a line had more partners.
 PAIR = "x_id bigint, x_line int, y_id bigint, y_line int, same boolean, more boolean, token int"
 
 
 # --- lines as sets of word hashes --------------------------------------------------
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray):
-    """Distinct word hashes of each line: ``(row, line, tokens, group)``.
+def line_words(data: np.ndarray, offsets: np.ndarray):
+    """Words by line: ``(row, line, tokens, group)``.
 
     ``row`` and ``line`` (counted from 0 within the row) are given per line that has words;
-    ``tokens`` are grouped by ``group``, the number of their line, in ascending order.
+    ``tokens`` are the words' hashes in the order of the text, ``group`` numbers their lines.
     """
     starts, ends, first = words(data, offsets, blank_separated())
     empty = np.zeros(0, np.int64)
@@ -66,16 +75,27 @@ def line_sets(data: np.ndarray, offsets: np.ndarray):
     group = np.cumsum(fresh) - 1
     row = row_of[fresh]
     line = number[fresh] - np.searchsorted(breaks, offsets[row])
-    tokens = word_hashes(data, starts, ends) & _LOW
-    if len(row) < 1 << 20:
-        packed = (group.astype(np.uint64) << _TOKEN_BITS) | tokens
-        packed.sort()
-        packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-        return row, line, packed & _LOW, (packed >> _TOKEN_BITS).astype(np.int64)
-    order = np.lexsort((tokens, group))
+    return row, line, _tokens(word_hashes(data, starts, ends)), group
+
+
+def _tokens(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - _TOKEN_BITS)
+
+
+def rarest_first(tokens: np.ndarray, group: np.ndarray, levels: np.ndarray):
+    """Distinct tokens of each line from rare to frequent, with the numbers of their lines."""
+    level = levels[_counter(tokens)].astype(np.uint64)
+    token_bits, level_bits = np.uint64(_TOKEN_BITS), np.uint64(_TOKEN_BITS + _LEVEL_BITS)
+    if group[-1] < 1 << (64 - _TOKEN_BITS - _LEVEL_BITS):  # all in one sort key
+        key = (group.astype(np.uint64) << level_bits) | (level << token_bits) | tokens
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        low = np.uint64((1 << _TOKEN_BITS) - 1)
+        return key & low, (key >> level_bits).astype(np.int64)
+    order = np.lexsort((tokens, level, group))
     tokens, group = tokens[order], group[order]
     keep = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (group[1:] != group[:-1])])
-    return row, line, tokens[keep], group[keep]
+    return tokens[keep], group[keep]
 
 
 def prefix_length(n, percent: int):
@@ -99,7 +119,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for _, data, offsets in slices(batches):
         starts, ends, _ = words(data, offsets, blank_separated())
-        held.append(_counter(word_hashes(data, starts, ends)))
+        held.append(_counter(_tokens(word_hashes(data, starts, ends))))
         size += len(starts)
         if size > COUNTERS:
             settle()
@@ -123,7 +143,7 @@ def rarity_levels(texts: DataFrame) -> np.ndarray:
         .mapInArrow(_counts, "bucket int, count bigint")
         .groupBy("bucket")
         .agg(F.sum("count").alias("count"))
-        .select("bucket", F.least(F.lit(255), F.floor(8 * F.log2("count"))).cast("int").alias("level"))
+        .select("bucket", F.floor(2 * F.log2("count")).cast("int").alias("level"))
     ).toArrow()
     levels = np.zeros(COUNTERS, np.uint8)
     levels[totals["bucket"].to_numpy()] = totals["level"].to_numpy()
@@ -137,9 +157,10 @@ def _shape(n: np.ndarray, pos: np.ndarray, part: np.ndarray) -> np.ndarray:
 def _entries(levels: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
-            row, line, tokens, group = line_sets(data, offsets)
+            row, line, tokens, group = line_words(data, offsets)
             if not len(row):
                 continue
+            tokens, group = rarest_first(tokens, group, levels)
             n = np.bincount(group, minlength=len(row))
             begin = np.concatenate([[0], np.cumsum(n)])[:-1]
             mixed = mix(tokens)
@@ -162,21 +183,11 @@ def _entries(levels: np.ndarray, percent: int):
             again, first = order[same], order[head[same]]
             lead = np.zeros(len(row), bool)
             lead[order[~same]] = True
-            # Prefixes of the others, rarest first.
-            use = lead[group]
-            tokens, group = tokens[use], group[use]
-            level = levels[_counter(tokens)].astype(np.uint64)
-            if len(row) < 1 << 20:  # line, level and 36 bits of the word in one sort key
-                key = (group.astype(np.uint64) << np.uint64(44)) | (level << np.uint64(36)) | (tokens >> np.uint64(8))
-                rank = np.argsort(key)
-            else:
-                rank = np.lexsort((tokens >> np.uint64(8), level, group))
-            tokens, group = tokens[rank], group[rank]
-            count = np.bincount(group, minlength=len(row))
-            pos = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
-            keep = pos < prefix_length(n[group], percent)
+            # Prefixes of the others.
+            pos = np.arange(len(group)) - begin[group]
+            keep = lead[group] & (pos < prefix_length(n, percent)[group])
             tokens, group, pos = tokens[keep], group[keep], pos[keep]
-            short = (tokens >> np.uint64(8)).astype(np.uint32).view(np.int32)
+            short = tokens.astype(np.uint32).view(np.int32)
             scatter = mix(np.arange(len(again), dtype=np.uint64) + np.uint64(len(tokens))).astype(np.uint32)
             columns = [
                 (short, scatter.view(np.int32), np.int32),
@@ -232,13 +243,42 @@ def _directed(c: Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(later, i, j), np.where(later, j, i)
 
 
-def _bucket_pairs(c: Rows, percent: int, everything: bool) -> list[tuple]:
-    """Candidates ``(later, earlier, same, more)`` of whole buckets, as row numbers.
+class _Closest:
+    """The ``FIRST`` closest earlier partners of each line, and how many there were."""
+
+    def __init__(self, c: Rows):
+        self.c, self.size = c, 0
+        self.count = np.zeros(len(c["token"]), np.int64)
+        self.pool: list[tuple] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        x, y = _directed(self.c, i, j)
+        np.add.at(self.count, x, 1)
+        self.pool.append((x, y, _differ(self.c, x, y)))
+        self.size += len(x)
+        if self.size > POOL:
+            self.shrink()
+
+    def shrink(self) -> None:
+        x, y, gap = (np.concatenate(v) for v in zip(*self.pool))
+        order = np.lexsort((y, gap, x))
+        x, y, gap = x[order], y[order], gap[order]
+        keep = np.arange(len(x)) - np.searchsorted(x, x) < FIRST
+        self.pool = [(x[keep], y[keep], gap[keep])]
+        self.size = int(keep.sum())
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.pool:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.shrink()
+        return self.pool[0][:2]
+
+
+def _bucket_pairs(c: Rows, percent: int) -> tuple[tuple, tuple, np.ndarray]:
+    """Repeats, proposed pairs and rows of buckets that have more, as row numbers.
 
-    Rows come in the order (token, shape, sig, id, line).
+    Rows come by bucket in the order (token, shape, sig, id, line).
     """
-    found = []
-    none = np.zeros(0, bool)
     # Repeats of a line: one pair with the first of them, which stands for all.
     same = np.zeros(len(c["token"]), bool)
     same[1:] = np.logical_and.reduce(
@@ -246,109 +286,58 @@ def _bucket_pairs(c: Rows, percent: int, everything: bool) -> list[tuple]:
     )
     at = np.arange(len(same))
     head = np.maximum.accumulate(np.where(same, 0, at))
-    if not everything:
-        again = at[same & (c["pos"] == 0)]
-        x, y = _directed(c, again, head[again])
-        found.append((x, y, np.ones(len(x), bool), np.zeros(len(x), bool)))
+    again = at[same & (c["pos"] == 0)]
+    repeats = _directed(c, again, head[again])
     # Buckets of one line have no pair.
     keep = at[~same]
     token = c["token"][keep]
     alone = np.ones(len(keep), bool)
     alone[1:] &= token[1:] != token[:-1]
     alone[:-1] &= token[:-1] != token[1:]
-    keep, token = keep[~alone], token[~alone]
-    if not len(keep):
-        return found
+    keep, token, closest = keep[~alone], token[~alone], _Closest(c)
     end = np.searchsorted(token, token, "right")
     start = np.searchsorted(token, token, "left")
     large = end - start > SMALL
-    left, right = [none.astype(np.int64)], [none.astype(np.int64)]
     n = c["n"][keep]
     i, lag = np.flatnonzero(~large), 1
     # Lines of a bucket come by size, so a line is done at the first that is too long.
     while len(i := i[i + lag < end[i]]) and len(i := i[100 * n[i] >= percent * n[i + lag]]):
         ok = _passes(c, keep[i], keep[i + lag], percent)
-        left.append(keep[i[ok]])
-        right.append(keep[i[ok] + lag])
+        closest.add(keep[i[ok]], keep[i[ok] + lag])
         lag += 1
-    x, y = _directed(c, np.concatenate(left), np.concatenate(right))
-    found.append(_closest(c, x, y, everything))
     for low in np.unique(start[large]).tolist():
-        found.extend(_large_bucket(c, keep[low : end[low]], percent, everything))
-    return found
-
-
-def _closest(c: Rows, x: np.ndarray, y: np.ndarray, everything: bool) -> tuple:
-    """Of each later line's partners the closest; ``more`` says that others were left."""
-    if everything:
-        x, y = x[c["probe"][x]], y[c["probe"][x]]
-        return x, y, np.zeros(len(x), bool), np.zeros(len(x), bool)
-    order = np.lexsort((y, _differ(c, x, y), x))
-    x, y = x[order], y[order]
-    place = np.arange(len(x)) - np.searchsorted(x, x)
-    total = np.searchsorted(x, x, "right") - np.searchsorted(x, x)
-    keep = place < FIRST
-    return x[keep], y[keep], np.zeros(keep.sum(), bool), (total > FIRST)[keep]
-
-
-def _large_bucket(c: Rows, rows: np.ndarray, percent: int, everything: bool) -> Iterator[tuple]:
-    """A bucket in order of line length, one row against the earlier ones in reach."""
-    far = np.iinfo(np.int64).max
-    best = np.full((FIRST, len(rows)), far)  # distance and number of each row's partners
-    partner = np.zeros((FIRST, len(rows)), np.int64)
-    count = np.zeros(len(rows), np.int64)
-    n = c["n"][rows]
-    low = np.searchsorted(100 * n, percent * n)
-    for k in range(1, len(rows)):
-        j = np.arange(low[k], k)
-        j = j[_passes(c, np.full(len(j), rows[k]), rows[j], percent)]
-        if not len(j):
-            continue
-        here = np.full(len(j), rows[k])
-        x, y = _directed(c, here, rows[j])
-        if everything:
-            wanted = c["probe"][x]
-            yield x[wanted], y[wanted], np.zeros(wanted.sum(), bool), np.zeros(wanted.sum(), bool)
-            continue
-        gap = _differ(c, x, y).astype(np.int64)
-        mine = x == rows[k]
-        near = np.flatnonzero(mine)[np.argsort(gap[mine], kind="stable")[:FIRST]]
-        best[: len(near), k], partner[: len(near), k] = gap[near], y[near]
-        count[k] = mine.sum()
-        other = np.searchsorted(rows, x[~mine])
-        count[other] += 1
-        gap, place = gap[~mine], np.full(len(other), rows[k])
-        for level in range(FIRST):  # insert into each row's sorted list
-            nearer = gap < best[level, other]
-            at = other[nearer]
-            old_gap, old_place = best[level, at].copy(), partner[level, at].copy()
-            best[level, at], partner[level, at] = gap[nearer], place[nearer]
-            gap[nearer], place[nearer] = old_gap, old_place
-    if not everything:
-        for level in range(FIRST):
-            k = np.flatnonzero(best[level] < far)
-            yield rows[k], partner[level, k], np.zeros(len(k), bool), count[k] > FIRST
-
-
-def _buckets(percent: int, everything: bool):
-    names = ["token", "shape", "sig", "proof", "id", "line", *(["probe"] if everything else [])]
+        rows = keep[low : end[low]]
+        size = c["n"][rows]
+        begin = np.searchsorted(100 * size, percent * size)
+        for k in range(1, len(rows)):
+            here, earlier = np.full(k - begin[k], rows[k]), rows[begin[k] : k]
+            ok = _passes(c, here, earlier, percent)
+            if ok.any():
+                closest.add(here[ok], earlier[ok])
+    crowded = np.unique(c["token"][closest.count > FIRST])
+    members = keep[np.isin(token, crowded)]
+    x, y = closest.best()
+    return repeats, (x, y, closest.count[x] > FIRST), members
+
+
+def _buckets(percent: int):
+    names = ["token", "shape", "sig", "proof", "id", "line"]
 
     def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = pa.concat_batches(parts)
         c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        if not everything:
-            gone = c["shape"] < 0
-            yield _pair_batch(
-                c["id"][gone], c["line"][gone], c["sig"][gone], c["proof"][gone], True, False, c["token"][gone]
-            )
-        c = {k: v[c["shape"] >= 0] for k, v in c.items()}
+        gone = c["shape"] < 0
+        yield _pair_batch(c["id"][gone], c["line"][gone], c["sig"][gone], c["proof"][gone], True, False, c["token"][gone])
+        c = {k: v[~gone] for k, v in c.items()}
         c["n"] = c["shape"] >> (_PLACE_BITS + _HASH_BITS)
         c["pos"] = (c["shape"] >> _HASH_BITS) & ((1 << _PLACE_BITS) - 1)
-        for x, y, same, more in _bucket_pairs(c, percent, everything):
-            if len(x):
-                yield _pair_batch(
-                    c["id"][x], c["line"][x], c["id"][y], c["line"][y], same, more, c["token"][x]
-                )
+        if not len(c["n"]):
+            return
+        at = lambda rows: (c["id"][rows], c["line"][rows])
+        (again, first), (x, y, more), members = _bucket_pairs(c, percent)
+        yield _pair_batch(*at(again), *at(first), True, False, c["token"][again])
+        yield _pair_batch(*at(x), *at(y), False, more, c["token"][x])
+        yield _pair_batch(*at(members), None, None, False, False, c["token"][members])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -367,12 +356,13 @@ def _buckets(percent: int, everything: bool):
 
 def _pair_batch(x_id, x_line, y_id, y_line, same, more, token) -> pa.RecordBatch:
     size = len(x_id)
+    none = y_id is None
     return pa.RecordBatch.from_arrays(
         [
             pa.array(x_id),
             pa.array(x_line),
-            pa.array(y_id),
-            pa.array(y_line.astype(np.int32)),
+            pa.nulls(size, pa.int64()) if none else pa.array(y_id),
+            pa.nulls(size, pa.int32()) if none else pa.array(y_line.astype(np.int32)),
             pa.array(np.broadcast_to(same, size)),
             pa.array(np.broadcast_to(more, size)),
             pa.array(token),
@@ -419,19 +409,19 @@ def _matching(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    wanted = (
-        pairs.select(F.col("x_id").alias("id"), F.col("x_line").alias("line"))
-        .union(pairs.select("y_id", "y_line"))
-        .groupBy("id")
-        .agg(F.collect_set("line").alias("lines"))
-    )
-    lines = materialize(
+def _lines_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The words of the lines ``(id, line)``."""
+    wanted = members.groupBy("id").agg(F.collect_set("line").alias("lines"))
+    return (
         texts.join(wanted, "id")
         .select("id", "text", "lines")
         .mapInArrow(_fetch, "id bigint, line int, words string")
         .dropDuplicates(["id", "line"])
     )
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The later lines of the pairs that match."""
     side = lambda s: lines.select(
         F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words")
     )
@@ -442,6 +432,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         .join(side("y"), ["y_id", "y_line"])
         .select("x_id", "x_line", "y_id", "y_line", "x_words", "y_words")
         .mapInArrow(_matching(percent), "x_id bigint, x_line int, y_id bigint, y_line int")
+        .select("x_id", "x_line")
+    )
+
+
+def _cell_matches(percent: int):
+    """Of each cell, the open lines that an earlier line of the cell matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, "cell"):
+            data, offsets = buffers(batch.column("words"))
+            starts, ends, first = words(data, offsets, blank_separated())
+            hashes = word_hashes(data, starts, ends)
+            sets = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
+            size = np.array([len(x) for x in sets])
+            cell, ids, line, open_ = (
+                batch.column(k).to_numpy(zero_copy_only=False) for k in ("cell", "id", "line", "open")
+            )
+            hit = np.zeros(len(ids), bool)
+            begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            for low, high in zip(begin, [*begin[1:], len(cell)]):
+                _, code = np.unique(np.concatenate(sets[low:high]), return_inverse=True)
+                at = np.concatenate([[0], np.cumsum(size[low:high])])
+                has = np.zeros(code.max() + 1, np.int32)
+                for k in np.flatnonzero(open_[low:high]):
+                    mine = code[at[k] : at[k + 1]]
+                    has[mine] = 1
+                    common = np.add.reduceat(has[code], at[:-1])
+                    has[mine] = 0
+                    x = low + k
+                    before = (ids[low:high] < ids[x]) | ((ids[low:high] == ids[x]) & (line[low:high] < line[x]))
+                    hit[x] = (before & (100 * common >= percent * (size[x] + size[low:high] - common))).any()
+            yield batch.select(["id", "line"]).filter(pa.array(hit))
+
+    return run
+
+
+def _second_round(members: DataFrame, open_: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Open lines ``(id, line, token)`` that an earlier member ``(id, line, token)`` of their
+    bucket matches. Cells are a block of open lines against a block of members."""
+    sizes = (
+        members.groupBy("token")
+        .agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        .join(open_.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("opens")), "token")
+    )
+
+    def placed(rows: DataFrame, own: str, other: str, is_open: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id", "line"), F.col(own))
+        theirs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias("theirs")
+        pair = (F.col("mine"), F.col("theirs")) if is_open else (F.col("theirs"), F.col("mine"))
+        return (
+            rows.join(sizes, "token")
+            .select("id", "line", "token", mine.alias("mine"), theirs)
+            .select("id", "line", F.xxhash64("token", *pair).alias("cell"), F.lit(is_open).alias("open"))
+        )
+
+    cells = placed(members, "blocks", "opens", False).union(placed(open_, "opens", "blocks", True))
+    return (
+        cells.join(lines, ["id", "line"])
+        .repartition("cell")
+        .sortWithinPartitions("cell")
+        .mapInArrow(_cell_matches(percent), "id bigint, line int")
     )
 
 
@@ -460,37 +511,39 @@ def repeated_lines(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
     ).where("id is not null and text is not null")
     levels = rarity_levels(texts)
-    entries = texts.mapInArrow(_entries(levels, percent), ENTRY)
-    order = ["token", "shape", "sig", "id", "line"]
-    pairs = materialize(
-        entries.repartition("token")
-        .sortWithinPartitions(*order)
-        .mapInArrow(_buckets(percent, False), PAIR)
+    proposed = materialize(
+        texts.mapInArrow(_entries(levels, percent), ENTRY)
+        .repartition("token")
+        .sortWithinPartitions("token", "shape", "sig", "id", "line")
+        .mapInArrow(_buckets(percent), PAIR)
     )
     # Lines of equal size, parity and set hash are repeats; the rest is compared on its words.
-    near = _verified(pairs.where("not same"), texts, percent).select("x_id", "x_line")
+    near = proposed.where("y_id is not null and not same")
+    members = proposed.where("y_id is null").select(
+        F.col("x_id").alias("id"), F.col("x_line").alias("line"), "token"
+    )
+    wanted = (
+        near.select(F.col("x_id").alias("id"), F.col("x_line").alias("line"))
+        .union(near.select("y_id", "y_line"))
+        .union(members.select("id", "line"))
+    )
+    lines = materialize(_lines_of(wanted, texts))
     removed = materialize(
-        pairs.where("same").select("x_id", "x_line").union(near).distinct().toDF("id", "line")
+        proposed.where("same")
+        .select("x_id", "x_line")
+        .union(_verified(near, lines, percent))
+        .distinct()
+        .toDF("id", "line")
     )
     open_ = materialize(
-        pairs.where("more")
+        near.where("more")
         .select(F.col("x_id").alias("id"), F.col("x_line").alias("line"), "token")
         .distinct()
         .join(removed, ["id", "line"], "left_anti")
     )
     if open_.isEmpty():
         return removed
-    again = (
-        entries.where("shape >= 0")
-        .join(open_.select("token").distinct(), "token", "left_semi")
-        .join(open_.withColumn("probe", F.lit(True)), ["id", "line", "token"], "left")
-        .withColumn("probe", F.coalesce("probe", F.lit(False)))
-        .repartition("token")
-        .sortWithinPartitions(*order)
-        .mapInArrow(_buckets(percent, True), PAIR)
-    )
-    second = _verified(materialize(again), texts, percent)
-    return removed.union(second.select("x_id", "x_line")).distinct()
+    return removed.union(_second_round(members, open_, lines, percent)).distinct()
 
 
 def removed_by_document(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
