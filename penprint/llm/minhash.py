@@ -336,23 +336,15 @@ def near_duplicates(
             "id bigint, n bigint, key_a bigint, key_b bigint, registers binary",
         )
     )
-    classes = (
+    reps = materialize(
         sketches.where("n > 0 and id is not null")
         .groupBy("key_a", "key_b")
-        .agg(F.min("id").alias("rep"))
-    )
-    reps = materialize(
-        sketches.where("n > 0")
-        .join(classes, ["key_a", "key_b"])
-        .where("id = rep")
-        .groupBy("id", "key_a", "key_b")
-        .agg(F.first("n").alias("n"), F.first("registers").alias("registers"))
-        .select("id", "n", "registers")
+        .agg(F.min(F.struct("id", "n", "registers")).alias("first"))
+        .select("key_a", "key_b", "first.*")
     )
     links = _links(texts, reps, words_per_shingle, percent, bands, width)
-    found = components(links).withColumnRenamed("id", "rep")
-    by_class = classes.join(found, "rep", "left").select(
-        "key_a", "key_b", F.coalesce("component", "rep").alias("component")
+    by_class = reps.join(components(links), "id", "left").select(
+        "key_a", "key_b", F.coalesce("component", "id").alias("component")
     )
     named = sketches.join(by_class, ["key_a", "key_b"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -377,10 +369,11 @@ def _links(
         .select("a", F.col("id").alias("b"))
         .distinct()
     )
-    # The sets of all that share a bucket, made once.
+    # The sets of all that share a bucket, made once. The corpus is on one side of this join,
+    # so one plan is asked for at every size.
     shared = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
     candidates = materialize(
-        texts.join(shared, "id", "left_semi")
+        texts.join(shared.hint("merge"), "id", "left_semi")
         .mapInArrow(_sets(size), "id bigint, shingles binary")
         .where("length(shingles) > 0")
     )
