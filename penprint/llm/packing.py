@@ -33,10 +33,15 @@ def byte_pair_encoder(ranks_file: str, pattern: str) -> Callable[[], Encode]:
 
         import tiktoken
 
-        with open(ranks_file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return encoding.encode_ordinary
+        # Kept with the library, so that a worker builds it once and not for every task.
+        made = vars(tiktoken).setdefault("_encodings_by_file", {})
+        if (ranks_file, pattern) not in made:
+            with open(ranks_file, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            made[ranks_file, pattern] = tiktoken.Encoding(
+                "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+            )
+        return made[ranks_file, pattern].encode_ordinary
 
     return make
 
