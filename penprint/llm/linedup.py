@@ -39,7 +39,7 @@ from .bytetext import (
 )
 
 COUNTERS = 1 << 22
-FIRST, SMALL, BLOCK = 2, 1024, 512
+FIRST, SMALL, BLOCK = 4, 1024, 512
 CHUNK, POOL = 200_000, 1_000_000
 _TOKEN_BITS, _LEVEL_BITS = 38, 6
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
@@ -375,9 +375,13 @@ def _pair_batch(x_id, x_line, y_id, y_line, same, more, token) -> pa.RecordBatch
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None  # rows that repeat an id come one after another and are read once
     for batch, _, _ in slices(batches):
         keys, numbers, found = [], [], []
         for key, text, lines in zip(*(batch.column(k).to_pylist() for k in ("id", "text", "lines"))):
+            if key == last:
+                continue
+            last = key
             parts = text.split("\n")
             wanted = [k for k in lines if k < len(parts)]
             keys += [key] * len(wanted)
@@ -413,10 +417,9 @@ def _lines_of(members: DataFrame, texts: DataFrame) -> DataFrame:
     """The words of the lines ``(id, line)``."""
     wanted = members.groupBy("id").agg(F.collect_set("line").alias("lines"))
     return (
-        texts.join(wanted, "id")
+        texts.join(wanted.hint("merge"), "id")
         .select("id", "text", "lines")
         .mapInArrow(_fetch, "id bigint, line int, words string")
-        .dropDuplicates(["id", "line"])
     )
 
 
@@ -564,12 +567,13 @@ def line_report(
     one); ``removed`` lists removed line numbers, comma-joined, empty if there are none.
     """
     lines = removed_by_document(docs, id_col, text_col, percent)
+    breakless = F.replace(F.col(text_col), F.lit("\n"), F.lit(""))
     counted = docs.select(
         F.col(id_col).cast("bigint").alias("id"),
-        F.coalesce(
-            F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1, F.lit(0)
-        ).cast("bigint").alias("n_lines"),
-    )
+        F.coalesce(F.octet_length(text_col) - F.octet_length(breakless) + 1, F.lit(0))
+        .cast("bigint")
+        .alias("n_lines"),
+    )
     return counted.join(lines, "id", "left").select(
         F.col("id").alias(id_col),
         "n_lines",
