@@ -286,14 +286,12 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang, quality"""
     "motif_merge": _with(TOKENS, _motifs("category", "text_id, sent_id"))
     + "SELECT text_id, motif, sum(cnt)::BIGINT AS cnt FROM counted GROUP BY text_id, motif",
     "motif_pivot": _with(TOKENS, _motifs("category", "text_id"))
-    + "SELECT d.doc_id AS text_id, any_value(t.tokens) AS token_count, any_value(t.sentences) AS sentence_count, "
-    + ", ".join(
-        f"coalesce(sum(cnt) FILTER (motif = '{m}'), 0)::BIGINT AS \"motif_{m}_count\"" for m in PIVOTED
-    )
-    + """ FROM documents d JOIN (
-    SELECT doc_id AS text_id, count(tok.i) AS tokens, count(DISTINCT tok.sent_id) AS sentences
-    FROM documents LEFT JOIN tok ON tok.text_id = doc_id GROUP BY doc_id) t ON t.text_id = d.doc_id
-  LEFT JOIN counted ON counted.text_id = d.doc_id GROUP BY d.doc_id""",
+    + f""", top AS (SELECT motif FROM counted GROUP BY motif ORDER BY sum(cnt) DESC, motif LIMIT {PIVOTED})
+SELECT t.text_id, t.tokens AS token_count, t.sentences AS sentence_count, top.motif, coalesce(c.cnt, 0)::BIGINT AS cnt
+FROM (SELECT doc_id AS text_id, count(tok.i) AS tokens, count(DISTINCT tok.sent_id) AS sentences
+    FROM documents LEFT JOIN tok ON tok.text_id = doc_id GROUP BY doc_id) t
+  CROSS JOIN top LEFT JOIN (SELECT text_id, motif, sum(cnt) AS cnt FROM counted GROUP BY ALL) c
+    ON c.text_id = t.text_id AND c.motif = top.motif""",
     "cache_summary": _with(TOKENS)
     + "SELECT count(*) AS sentence_total, count(DISTINCT text_id) AS text_total FROM sents",
     "cache_counts": _with(TOKENS)
@@ -336,10 +334,21 @@ FROM x JOIN norm USING (doc_id) GROUP BY doc_id""",
     + """SELECT d.doc_id, coalesce(round(avg(n), 6), 0) AS sentence_mean, coalesce(round(stddev_pop(n), 6), 0) AS sentence_std,
   coalesce(min(n), 0)::DOUBLE AS sentence_min, coalesce(max(n), 0)::DOUBLE AS sentence_max
 FROM documents d LEFT JOIN lengths USING (doc_id) GROUP BY d.doc_id""",
-    "feature_union": _with(SENTENCE_LENGTHS)
-    + """SELECT doc_id, coalesce(round(avg(n), 6), 0) AS sentence_mean, coalesce(round(stddev_pop(n), 6), 0) AS sentence_std,
-  coalesce(min(n), 0)::DOUBLE AS sentence_min, coalesce(max(n), 0)::DOUBLE AS sentence_max
-FROM labels LEFT JOIN lengths USING (doc_id) GROUP BY doc_id""",
+    "feature_union": _with(GRAMS, SENTENCE_LENGTHS)
+    + f""", tf AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY ALL),
+vocab AS (SELECT gram, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
+  FROM tf GROUP BY gram HAVING count(*) >= 2),
+x AS (SELECT doc_id, tf * idf AS x FROM tf JOIN vocab USING (gram)),
+norm AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS grams, sum(x / norm) AS total, max(x / norm) AS top, sum((x / norm) * (x / norm)) AS squares
+  FROM x JOIN norm USING (doc_id) GROUP BY doc_id),
+w AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '{WORD}'),
+    lambda t: t IN {_in(FUNCTION_WORDS)} AND length(t) > 1)) / greatest({_words('text')}, 1) AS rate FROM documents),
+s AS (SELECT doc_id, avg(n) AS mean, stddev_pop(n) AS std, min(n) AS low, max(n) AS high FROM lengths GROUP BY doc_id)
+SELECT d.doc_id, round(w.rate, 6) AS word_rate, coalesce(g.grams, 0) AS grams, round(coalesce(g.total, 0), 6) AS weight_sum,
+  round(g.top, 6) AS weight_max, round(coalesce(g.squares, 0), 6) AS squares, coalesce(round(mean, 6), 0) AS sentence_mean,
+  coalesce(round(std, 6), 0) AS sentence_std, coalesce(low, 0)::DOUBLE AS sentence_min, coalesce(high, 0)::DOUBLE AS sentence_max
+FROM documents d JOIN w USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)""",
     "standard_scale": f"""WITH x AS ({_doc_features(digits=15)}),
 m AS (SELECT {MOMENTS} FROM x WHERE {IN_TRAIN})
 SELECT doc_id, {SCALE} FROM x, m""",

@@ -41,14 +41,8 @@ SYNTAX = [
     *[f"{d}_{s}" for d in ("dependency_depth", "branching_factor", "subtree_size") for s in ("mean", "max", "min")],
     *[f"clause_{d}_count" for d in CLAUSE_DEPS],
 ]
-# Motifs that become columns in the pivot query.
-PIVOTED = [
-    "ADP:pos:PRON|dep:advcl+pos:PRON|dep:ccomp+pos:PRON|dep:det",
-    "ADP:pos:PRON|dep:advcl+pos:PRON|dep:det+pos:PRON|dep:obj",
-    "ADP:pos:PRON|dep:acl+pos:PRON|dep:relcl+pos:PRON|dep:xcomp",
-    "VERB:pos:PRON|dep:advcl+pos:PRON|dep:ccomp+pos:PRON|dep:det",
-    "PRON:pos:NOUN|dep:absent",
-]
+# A top-k report: so many motifs become columns in the pivot query.
+PIVOTED = 100
 
 
 def query(build: Query) -> Query:
@@ -438,8 +432,14 @@ def q_motif_merge(spark, sf):
 @query
 def q_motif_pivot(spark, sf):
     parses = si.parses(spark, sf)
-    features = ft.token_sentence_counts(parses)
-    return mo.motif_pivot(features, mo.motif_counts(parses), PIVOTED).drop("chunk_id")
+    counts = materialize(mo.motif_counts(parses))
+    motifs = mo.top_motifs(counts, PIVOTED)
+    wide = mo.motif_pivot(ft.token_sentence_counts(parses), counts, motifs)
+    # The columns depend on the texts, so they come back as rows.
+    cells = F.array(*[
+        F.struct(F.lit(m).alias("motif"), F.col(f"`motif_{m}_count`").alias("cnt")) for m in motifs
+    ])
+    return wide.select("text_id", "token_count", "sentence_count", F.inline(cells))
 
 
 @query
@@ -528,11 +528,29 @@ def _tail(vectors: DataFrame, names: list[str], *keep: str) -> DataFrame:
 
 @query
 def q_feature_union(spark, sf):
-    docs = materialize(si.labelled(spark, sf, "text"))
+    """Every entry of the joined vectors of all texts counts in some figure."""
+    docs = materialize(si.documents(spark, sf, "text"))
     vectors = md.fit_baseline(docs).transform(docs, "features")
-    return _tail(
-        vectors, ["sentence_mean", "sentence_std", "sentence_min", "sentence_max"], "doc_id"
+    width = vectors.select("features").first()[0].size
+    words = len(FUNCTION_WORDS)
+    values = F.col("values")
+    parts = vectors.select("doc_id", vector_to_array("features").alias("values")).select(
+        "doc_id",
+        F.slice(values, 1, words).alias("rates"),
+        F.array_remove(F.slice(values, words + 1, width - words - 4), F.lit(0.0)).alias("weights"),
+        F.slice(values, width - 3, 4).alias("stats"),
+    )
+    summed = lambda c, f: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + f(x))
+    figures = parts.select(
+        "doc_id",
+        summed("rates", lambda x: x).alias("word_rate"),
+        F.size("weights").cast("bigint").alias("grams"),
+        summed("weights", lambda x: x).alias("weight_sum"),
+        F.array_max("weights").alias("weight_max"),
+        summed("weights", lambda x: x * x).alias("squares"),
+        *[F.get("stats", F.lit(i)).alias(f"sentence_{n}") for i, n in enumerate(("mean", "std", "min", "max"))],
     )
+    return rounded(figures, *[c for c in figures.columns if c not in ("doc_id", "grams")])
 
 
 def _feature_rows(spark, sf) -> DataFrame:
@@ -565,8 +583,8 @@ def q_label_encode(spark, sf):
 @query
 def q_stratified_split(spark, sf):
     docs = si.table(spark, sf, "documents").select("doc_id", "lang")
-    loose = sp.stratified_split(docs, "doc_id", "lang")
-    exact = sp.stratified_split(docs, "doc_id", "lang", exact=True)
+    loose = sp.stratified_split(docs, "doc_id", "lang", exact=False)
+    exact = sp.stratified_split(docs, "doc_id", "lang")
     return loose.join(exact.select("doc_id", F.col("is_test").alias("is_test_exact")), "doc_id")
 
 
@@ -619,7 +637,7 @@ def q_fit_predict(spark, sf):
 @query
 def q_truncated_svd(spark, sf):
     train, test = _vectors(spark, sf)
-    reduced = md.truncated_svd(train, "row_id").transform(test, "row_id")
+    reduced = md.reduced(md.truncated_svd(train), test)
     # Signs of components are arbitrary, so lengths are reported.
     values = vector_to_array("features")
     squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
@@ -642,18 +660,7 @@ def q_f1_macro(spark, sf):
 def q_experiment_grid(spark, sf):
     labels = si.table(spark, sf, "labels").select("doc_id", "quality")
     features = materialize(_feature_rows(spark, sf).join(labels, "doc_id"))
-    # Fewer iterations, trees and grams than the defaults; every labelled text is used.
-    return experiment_grid(
-        features,
-        "doc_id",
-        "quality",
-        max_grams=5_000,
-        params={
-            "logistic_regression": {"maxIter": 100},
-            "linear_svm": {"maxIter": 100},
-            "random_forest": {"numTrees": 50},
-        },
-    )
+    return experiment_grid(features, "doc_id", "quality")
 
 
 # --- joins and unions --------------------------------------------------------------

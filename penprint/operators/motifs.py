@@ -69,7 +69,11 @@ def expand_motifs(
     _check(min_leaves)
     zero = F.lit(0).cast("bigint")
     one = F.lit(1).cast("bigint")
-    choices = F.aggregate("bag", one, lambda acc, b: acc * (b["n"] + 1))
+    # Whatever the session says of overflow: a count of choices beyond BIGINT raises.
+    size = F.aggregate("bag", F.lit(1.0), lambda acc, b: acc * (b["n"] + 1))
+    choices = F.when(
+        size < float(1 << 62), F.aggregate("bag", one, lambda acc, b: acc * (b["n"] + 1))
+    ).otherwise(F.raise_error(F.lit("a head has more motifs than BIGINT counts")).cast("bigint"))
     radix = F.transform(
         "bag",
         lambda b, i: F.aggregate(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -29,15 +31,24 @@ def build_session(master: str | None = None, app: str = "penprint", **conf: str)
 
 @cache
 def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="penprint-")
+    path = tempfile.mkdtemp(prefix="penprint-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) is a local folder made.
+    On one machine without that setting a local folder is made, which goes when Python
+    ends. On a cluster executors could not see it, so there the setting is required.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -2,44 +2,84 @@
 
 from __future__ import annotations
 
-import os
+import posixpath
+import re
 
 from pyspark.sql import SparkSession
 
+_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?")
+_SPECIAL = re.compile(r"([\\\[\]{}*?])")
 
-def _file_system(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, jvm_path = _file_system(spark, path)
-    return fs.exists(jvm_path)
+    fs, place = _located(spark, path)
+    return fs.exists(place)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path as Spark's file columns print it."""
-    fs, jvm_path = _file_system(spark, path)
-    return fs.makeQualified(jvm_path).toString()
+    fs, place = _located(spark, path)
+    return fs.makeQualified(place).toString()
+
+
+def literal(path: str) -> str:
+    """A path that a reader takes as it stands, special characters of patterns included."""
+    return _SPECIAL.sub(r"\\\1", path)
+
+
+def without_scheme(path: str) -> str:
+    return _SCHEME.sub("", path)
+
+
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Qualified matches of one pattern."""
+    fs, place = _located(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(place) or []]
 
 
 def glob_paths(spark: SparkSession, directory: str, pattern: str) -> list[str]:
-    """Matches of a pattern below a directory, ordered component by component."""
-    fs, jvm_path = _file_system(spark, os.path.join(directory, pattern))
-    found = [s.getPath().toUri().getPath() for s in fs.globStatus(jvm_path) or []]
-    return sorted(found, key=lambda p: p.split("/"))
+    """Qualified matches below a directory, ordered component by component.
 
+    ``**`` stands for any number of folders, none included. It is widened one level at a
+    time for as long as there are folders that deep.
+    """
+    base = literal(directory)
+    if "**" not in pattern.split("/"):
+        found = _matches(spark, posixpath.join(base, pattern))
+    else:
+        before, _, behind = f"/{pattern}".partition("/**")
+        before, behind = before.strip("/"), behind.strip("/") or "*"
+        found, level = [], ""
+        while _matches(spark, posixpath.join(base, before, level) + "/"):
+            found += glob_paths(spark, directory, posixpath.join(before, level, behind))
+            level = posixpath.join(level, "*")
+            if not _matches(spark, posixpath.join(base, before, level, "*")):
+                found += glob_paths(spark, directory, posixpath.join(before, level, behind))
+                break
+    return sorted(set(found), key=lambda p: without_scheme(p).split("/"))
 
-def resolve_inputs(
+
+def selected_files(
     spark: SparkSession, input_dir: str, files: list[str] = (), glob: str | None = None
 ) -> list[str]:
-    """Explicit paths in the given order, then sorted matches; repeats are kept."""
-    paths = [f if "://" in f or os.path.isabs(f) else os.path.join(input_dir, f) for f in files]
-    if glob:
-        paths += glob_paths(spark, input_dir, glob)
-    if not paths:
+    """Qualified paths of the selection, repeats included.
+
+    Named files come first, in their order and relative to ``input_dir``; then the matches
+    of the pattern. Selecting nothing is an error, and so is naming files that are not
+    there; the error names all of them.
+    """
+    if not files and not glob:
         raise ValueError("name input files or a pattern; the whole directory is not read by default")
-    missing = [p for p in paths if not exists(spark, p)]
-    if missing:
-        raise FileNotFoundError("missing input files:\n" + "\n".join(missing))
-    return paths
+    named = [qualified(spark, f if "://" in f else posixpath.join(input_dir, f)) for f in files]
+    absent = [p for p in dict.fromkeys(named) if not exists(spark, p)]
+    if absent:
+        raise FileNotFoundError("missing input files:\n" + "\n".join(map(without_scheme, absent)))
+    selection = named + (glob_paths(spark, input_dir, glob) if glob else [])
+    if not selection:
+        raise ValueError(f"no file matches {glob}")
+    return selection

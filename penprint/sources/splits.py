@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.labels import LABEL_KEYS, STORY_TEXT_KEYS
+from ..functions.text import is_blank
 from .files import exists
 
 # Split names, in reading order.
@@ -31,7 +32,7 @@ def read_jsonl_split(spark: SparkSession, path: str, split: str, keys: list[str]
     The schema is given, so the file is read once, and ``raw`` is the line as it stands.
     """
     schema = ", ".join(f"`{k}` string" for k in keys)
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(~is_blank(F.col("value")))
     return lines.select(
         F.lit(split).alias("split"),
         F.col("value").alias("raw"),

@@ -52,9 +52,9 @@ def literal_words(
     return listed.select(F.lower(strip(F.col("word"))).alias("word")).where("word <> ''").distinct()
 
 
-def as_word_list(words: DataFrame, limit: int = 100_000) -> list[str]:
-    """The words as a list for use in an expression; refuses lists beyond ``limit``."""
-    rows = words.limit(limit + 1).collect()
-    if len(rows) > limit:
+def as_word_list(words: DataFrame, limit: int | None = None) -> list[str]:
+    """The words as a list for use in an expression; refuses lists beyond a given limit."""
+    rows = (words if limit is None else words.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"more than {limit} literal words")
     return sorted(r.word for r in rows)

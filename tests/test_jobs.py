@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from penprint.catalog.rule_parser import make_rule_parser
 from penprint.functions.labels import normalize_label
 from penprint.operators import columns as co, corpus as cp, features as ft, metrics as mt
-from penprint.operators import models as md, parses as pa, scaling as sc, splits as sp
+from penprint.operators import models as md, motifs as mo, parses as pa, scaling as sc, splits as sp
 from penprint.operators import stylometry as st
 from penprint.operators.joins import sized_join
 from penprint.plans import corpus as build, syntax
 from penprint.plans.evaluation import experiment_grid
 from penprint.sinks import tables as sk
-from penprint.sources import tables as stb, texts as stx
+from penprint.sources import splits as ss, tables as stb, texts as stx
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -206,7 +206,7 @@ def test_scaler(spark):
 
 def test_exact_split_sizes(spark):
     df = spark.range(1003).select("id", F.when(F.col("id") % 10 < 3, "a").otherwise("b").alias("y"))
-    split = sp.stratified_split(df, "id", "y", 0.2, exact=True)
+    split = sp.stratified_split(df, "id", "y", 0.2)
     got = {(r.y, r.is_test): r["count"] for r in split.groupBy("y", "is_test").count().collect()}
     assert got[("a", True)] + got[("b", True)] == 201
     assert abs(got[("a", True)] - 0.2 * 303) < 1
@@ -217,8 +217,8 @@ def test_exact_split_sizes(spark):
 def test_macro_f1(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1)], "label int, prediction int")
     assert mt.f1_macro(df).first()[0] == pytest.approx((2 / 3 + 4 / 5) / 2)
-    both = mt.scores(df)
-    assert both["f1_macro"] == pytest.approx(11 / 15) and both["accuracy"] == 0.75
+    both = mt.scores(df).first()
+    assert both.f1_macro == pytest.approx(11 / 15) and both.accuracy == 0.75
 
 
 def brute_tfidf(train, texts):
@@ -260,8 +260,7 @@ def test_svd_matches_numpy(spark):
     from pyspark.ml.linalg import Vectors
 
     df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(a.tolist())], ["id", "features"])
-    reduction = md.truncated_svd(df, "id", k=3)
-    got = reduction.transform(df, "id").select(vector_to_array("features")).collect()
+    got = md.reduced(md.truncated_svd(df, k=3), df).select(vector_to_array("features")).collect()
     lengths = np.linalg.norm(np.array([r[0] for r in got]), axis=0)
     assert lengths == pytest.approx(np.linalg.svd(a)[1][:3], rel=1e-6)
 
@@ -300,3 +299,75 @@ def test_shared_folder_is_used(spark):
 
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert os.path.basename(scratch_path(spark, "x")) == "x"
+
+
+def test_named_files_are_read_or_refused(spark, tmp_path):
+    (tmp_path / "G [1]-H.txt").write_text("in brackets")
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "A-B.txt").write_text("one")
+    (tmp_path / "deep" / "er" / "C-D.txt").write_text("two")
+    base = str(tmp_path)
+    named = ["G [1]-H.txt", "deep/A-B.txt", "G [1]-H.txt"]
+    rows = stx.read_texts(spark, base, named).orderBy("text_id").collect()
+    assert [r.raw_text for r in rows] == ["in brackets", "one", "in brackets"]
+    listed = stx.list_inputs(spark, base, named).orderBy("text_id").collect()
+    assert [(r.text_id, r.length) for r in listed] == [(1, 11), (2, 3), (3, 11)]
+    found = stx.read_texts(spark, base, glob="**/*.txt").orderBy("text_id").collect()
+    assert [r.raw_text for r in found] == ["in brackets", "one", "two"]
+    assert stx.read_texts(spark, base, glob="deep/**/*.txt").count() == 2
+    (tmp_path / "_C-D.txt").write_text("hidden")
+    for selection in ({"files": ["_C-D.txt", "deep/A-B.txt"]}, {"glob": "*.txt"}):
+        with pytest.raises(ValueError, match="_C-D.txt"):
+            stx.read_texts(spark, base, **selection)
+
+
+def test_blank_lines_of_any_kind_are_skipped(spark, tmp_path):
+    path = tmp_path / "train.jsonl"
+    path.write_text('{"text": "a"}\n\t\n  \n\u3000\n', encoding="utf-8")
+    rows = ss.read_jsonl_split(spark, str(path), "train", ["text"]).collect()
+    assert [r.text for r in rows] == ["a"]
+
+
+def test_split_is_stratified_by_default(spark):
+    df = spark.range(40).select("id", F.when(F.col("id") < 4, "rare").otherwise("usual").alias("y"))
+    for seed in range(6):
+        sides = sp.stratified_split(df, "id", "y", 0.25, seed).where("y = 'rare'").groupBy("is_test").count()
+        assert {r.is_test: r["count"] for r in sides.collect()} == {True: 1, False: 3}
+    many = spark.range(30_000).select("id", (F.col("id") % 15_000).alias("y"))
+    assert sp.label_encode(many, "y").agg(F.max("label_index")).first()[0] == 14_999
+
+
+def test_too_many_motifs_raise_whatever_the_session_says(spark):
+    leaves = [f"l{i}" for i in range(66)]
+    bag = [(leaf, 1) for leaf in leaves]
+    bags = spark.createDataFrame(
+        [(1, 0, "VERB", bag, 1)],
+        "text_id bigint, chunk_id int, pos string, bag array<struct<value:string,n:bigint>>, heads bigint",
+    )
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(PySparkException):
+                mo.expand_motifs(bags).count()
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_clusters_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from penprint.session import shared_dir
+
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: default),
+        sparkContext=SimpleNamespace(master="spark://host:7077"),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
+def test_salted_join_takes_maps(spark):
+    big = spark.range(20).select("id", F.create_map(F.lit("k"), "id").alias("m"))
+    small = spark.range(5).select("id", F.lit("x").alias("v"))
+    assert sized_join(big, small, "id", max_rows=0).count() == 5
