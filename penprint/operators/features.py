@@ -102,13 +102,15 @@ def fill_missing(df: DataFrame, syntax: list[str] = (), motifs: list[str] = ())
 
 
 def attach_metadata(features: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Add title, author and path to feature rows by text id."""
-    return sized_join(
-        features,
-        metadata.select(F.col("id").alias("text_id"), "title", "author", "path"),
-        "text_id",
-        "left",
+    """Add title, author and path to feature rows by text id.
+
+    Metadata files grow by appending and ids start anew with every run, so an id can be
+    there several times. The least of its rows is taken: features never multiply.
+    """
+    single = metadata.groupBy(F.col("id").alias("text_id")).agg(
+        F.min(F.struct("title", "author", "path")).alias("m")
     )
+    return sized_join(features, single.select("text_id", "m.*"), "text_id", "left")
 
 
 def cache_summary(cache: DataFrame) -> DataFrame:
@@ -148,14 +150,18 @@ def cache_counts(cache: DataFrame) -> DataFrame:
 
 
 def metadata_first_wins(cache: DataFrame) -> DataFrame:
-    """One metadata row per text: that of its first sentence."""
+    """One metadata row per text: that of its first sentence.
+
+    A missing id is text 0, as for the parses. Of several first sentences the one with the
+    least title, author and path counts.
+    """
     row = F.struct(
         F.coalesce("title", F.lit("Unknown")).alias("title"),
         F.coalesce("author", F.lit("Unknown")).alias("author"),
         F.coalesce("source_path", F.lit("")).alias("path"),
     )
     return (
-        cache.groupBy(F.col("text_id").alias("id"))
-        .agg(F.min_by(row, F.col("sentence_id")).alias("m"))
-        .select("id", "m.title", "m.author", "m.path")
+        cache.groupBy(F.coalesce("text_id", F.lit(0).cast("bigint")).alias("id"))
+        .agg(F.min(F.struct("sentence_id", row.alias("row"))).alias("m"))
+        .select("id", "m.row.*")
     )

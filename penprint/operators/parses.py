@@ -34,7 +34,8 @@ def parse_with(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = make_parser()
-        for frame in frames:
+        # A few rows at a time, so that the parses of a whole Arrow batch are never held.
+        for frame in (f[at : at + batch_size] for f in frames for at in range(0, len(f), batch_size)):
             flat = [p for row in frame["pieces"] for p in row]
             parsed = iter(
                 [

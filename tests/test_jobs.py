@@ -371,3 +371,22 @@ def test_salted_join_takes_maps(spark):
     big = spark.range(20).select("id", F.create_map(F.lit("k"), "id").alias("m"))
     small = spark.range(5).select("id", F.lit("x").alias("v"))
     assert sized_join(big, small, "id", max_rows=0).count() == 5
+
+
+def test_repeated_metadata_does_not_multiply_features(spark):
+    features = spark.createDataFrame([(1, 5), (2, 6)], "text_id bigint, token_count int")
+    meta = spark.createDataFrame(
+        [(1, "B", "b", "/b"), (1, "A", "z", "/a"), (None, "N", "n", "/n")],
+        "id bigint, title string, author string, path string",
+    )
+    rows = ft.attach_metadata(features, meta).orderBy("text_id").collect()
+    assert [(r.text_id, r.title, r.author) for r in rows] == [(1, "A", "z"), (2, None, None)]
+
+
+def test_first_metadata_is_the_same_on_every_run(spark):
+    cache = spark.createDataFrame(
+        [(None, 1, "T", "A", "/1"), (3, 1, "Y", "A", "/2"), (3, 1, "X", "B", "/3"), (3, 0, None, None, None)],
+        "text_id bigint, sentence_id int, title string, author string, source_path string",
+    )
+    rows = ft.metadata_first_wins(cache).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(0, "T", "A", "/1"), (3, "Unknown", "Unknown", "")]
