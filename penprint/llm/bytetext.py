@@ -7,7 +7,6 @@ both end at ASCII bytes only, and only A-Z change case. No Python string is made
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,42 +28,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@cache
+def _word_bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    table = np.zeros(256, bool)
+    for low, high in ranges:
+        table[low:high] = True
+    return table
+
+
+# Module values rather than cached calls: functions travel to workers with what they use.
+_BLANK_SEPARATED = _word_bytes((0, 9), (14, 32), (33, 256))
+_LETTERS_AND_DIGITS = _word_bytes((48, 58), (65, 91), (97, 123), (128, 256))
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_BYTE_VALUES[65:91] = _BYTE_VALUES[97:123]
+
+
 def blank_separated() -> np.ndarray:
     """Word bytes: everything but the blank and 09-0D."""
-    table = np.ones(256, bool)
-    table[[32, 9, 10, 11, 12, 13]] = False
-    return table
+    return _BLANK_SEPARATED
 
 
-@cache
 def letters_and_digits() -> np.ndarray:
     """Word bytes: ASCII digits and letters, and every byte beyond ASCII."""
-    table = np.zeros(256, bool)
-    for low, high in ((48, 58), (65, 91), (97, 123), (128, 256)):
-        table[low:high] = True
-    return table
+    return _LETTERS_AND_DIGITS
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, made as far as needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.zeros(0, np.uint64)
 
+    def __reduce__(self):
+        return _Powers, ()  # made anew in each worker, never sent
 
-@cache
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    values[65:91] = values[97:123]
-    return values
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            size = max(n + 1, 2 * SLICE_BYTES)
+            self.up, self.down = (_chain(b, size) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.up, self.down
 
 
-_powers: dict[str, np.ndarray] = {}
+def _chain(base: int, size: int) -> np.ndarray:
+    row = np.full(size, base, dtype=np.uint64)
+    row[0] = 1
+    return np.multiply.accumulate(row)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, 2 * SLICE_BYTES)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"], _powers["down"]
+_POWERS = _Powers()
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +134,9 @@ def words(
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word with A-Z lower-cased."""
-    up, down = _power(len(data))
+    up, down = _POWERS.upto(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=total[1:])
+    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     return mix(h ^ ((ends - starts).astype(np.uint64) * _WORD))
 

@@ -246,3 +246,30 @@ def test_rebalancing_moves_few_slots(spark, tmp_path):
     moved = sum(weight[k] for k in old if old[k] != new[k]) / sum(weight.values())
     loads = [sum(w for k, w in weight.items() if new[k] == s) for s in range(9)]
     assert moved < 0.16 and max(loads) < 1.1 * sum(loads) / 9
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    """Workers need not have the package: what a task runs comes with the job."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from penprint.llm import bytecnn, decontam, packing, pii, quality  # noqa: F401
+
+    levels = np.zeros(linedup.COUNTERS, np.uint8)
+    functions = [
+        minhash._sketch(2, 200), minhash._bands(40, 5), minhash._likely(200, 80), minhash._sets(2),
+        minhash._confirm(80), minhash._mark(40, 5, 80), minhash._between(80), linedup._counts,
+        linedup._entries(levels, 80), linedup._buckets(80), linedup._fetch, linedup._matching(80),
+        linedup._cell_matches(80), decontam._search(decontam.build_patterns([("1", "a b")], 10), "t", "h", False),
+        packing._cut(packing.byte_pair_encoder("f", "p"), 2, 1024, True), pii._find(pii.fit([]), 0.9),
+        bytecnn._score(bytecnn.fit([], np.zeros(0))),
+    ]
+    path = tmp_path / "functions"
+    path.write_bytes(cloudpickle.dumps(functions))
+    code = f"import pickle; print(len(pickle.load(open({str(path)!r}, 'rb'))))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.strip() == str(len(functions)), done.stderr
