@@ -173,7 +173,8 @@ def _entries(levels: np.ndarray, percent: int):
             proof = np.where(long_, upper, whole).view(np.int64)
             part = (whole & np.uint64((1 << _HASH_BITS) - 1)).astype(np.int64)
             ids = batch.column("id").to_numpy(zero_copy_only=False)[row]
-            # Repeats within the slice name its first such line and send one row each.
+            # Repeats within the slice name its first such line and send one row each; the
+            # same line of a row that repeats the id is that line and sends nothing.
             order = np.lexsort((line, ids, whole, sig, n))
             same = np.zeros(len(order), bool)
             same[1:] = np.logical_and.reduce(
@@ -181,6 +182,8 @@ def _entries(levels: np.ndarray, percent: int):
             )
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             again, first = order[same], order[head[same]]
+            other = (ids[again] != ids[first]) | (line[again] != line[first])
+            again, first = again[other], first[other]
             lead = np.zeros(len(row), bool)
             lead[order[~same]] = True
             # Prefixes of the others.

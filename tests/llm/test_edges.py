@@ -115,6 +115,14 @@ def test_line_dedup(docs, none):
     assert texts[6] == LONG
 
 
+def test_rows_that_repeat_an_id_in_one_slice_keep_their_lines(spark):
+    both = PLAIN + "\nanother line of its own with seven words"
+    pair = table(spark, [(8, both, "a"), (8, both, "a"), (9, PLAIN, "a")]).coalesce(1)
+    got = rows(line_report(pair), "doc_id", "n_lines", "n_removed", "removed")
+    assert got == [(8, 2, 0, ""), (8, 2, 0, ""), (9, 1, 1, "0")]
+    assert rows(without_repeated_lines(pair), "doc_id", "text") == [(8, both), (8, both), (9, "")]
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame(
         [(1, PLAIN), (1, PLAIN), (2, "word"), (3, None), (None, PLAIN), (4, ""), (5, "...")],
