@@ -17,6 +17,10 @@ In each bucket a line proposes its ``FIRST`` closest earlier partners at first.
 are still unmatched after the comparison, and had more, meet their whole bucket in a second
 round, in cells of bounded size that compare full sets and emit only the lines that match.
 So large groups of near copies cost a few pairs per line and nothing is lost.
+
+A bucket of more than ``HOT`` rows is streamed in runs of ``RUN`` rows that are compared
+within themselves. Its lines that are then still unmatched meet all its lines in cells, a
+block of open lines against a block of members, spread over all tasks.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ from .bytetext import (
 
 COUNTERS = 1 << 22
 FIRST, SMALL, BLOCK = 4, 1024, 512
+HOT, RUN, CELL = 1 << 15, 2048, 1 << 14
 CHUNK, POOL = 200_000, 1_000_000
 _TOKEN_BITS, _LEVEL_BITS = 38, 6
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
@@ -50,8 +55,12 @@ _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 LONG = 100
 _PLACE_BITS, _HASH_BITS = 22, 17
 ENTRY = "token int, shape bigint, sig bigint, proof bigint, id bigint, line int"
-# A proposed pair; without ``y`` a member of a bucket in which a line had more partners.
-PAIR = "x_id bigint, x_line int, y_id bigint, y_line int, same boolean, more boolean, token int"
+# A proposed pair; without ``y`` a member of a bucket in which a line had more partners, or,
+# with ``shape``, a row of a bucket that was cut into runs.
+PAIR = (
+    "x_id bigint, x_line int, y_id bigint, y_line int, same boolean, more boolean, token int, "
+    "shape bigint, sig bigint, proof bigint"
+)
 
 
 # --- lines as sets of word hashes --------------------------------------------------
@@ -277,10 +286,11 @@ class _Closest:
         return self.pool[0][:2]
 
 
-def _bucket_pairs(c: Rows, percent: int) -> tuple[tuple, tuple, np.ndarray]:
+def _bucket_pairs(c: Rows, percent: int, cut: bool) -> tuple[tuple, tuple, np.ndarray]:
     """Repeats, proposed pairs and rows of buckets that have more, as row numbers.
 
-    Rows come by bucket in the order (token, shape, sig, id, line).
+    Rows come by bucket in the order (token, shape, sig, id, line). Of a run of a ``cut``
+    bucket all rows but repeats are given, and no pair is said to have more.
     """
     # Repeats of a line: one pair with the first of them, which stands for all.
     same = np.zeros(len(c["token"]), bool)
@@ -292,7 +302,7 @@ def _bucket_pairs(c: Rows, percent: int) -> tuple[tuple, tuple, np.ndarray]:
     again = at[same & (c["pos"] == 0)]
     repeats = _directed(c, again, head[again])
     # Buckets of one line have no pair.
-    keep = at[~same]
+    keep = single = at[~same]
     token = c["token"][keep]
     alone = np.ones(len(keep), bool)
     alone[1:] &= token[1:] != token[:-1]
@@ -317,35 +327,86 @@ def _bucket_pairs(c: Rows, percent: int) -> tuple[tuple, tuple, np.ndarray]:
             ok = _passes(c, here, earlier, percent)
             if ok.any():
                 closest.add(here[ok], earlier[ok])
+    x, y = closest.best()
+    if cut:
+        return repeats, (x, y, np.zeros(len(x), bool)), single
     crowded = np.unique(c["token"][closest.count > FIRST])
     members = keep[np.isin(token, crowded)]
-    x, y = closest.best()
     return repeats, (x, y, closest.count[x] > FIRST), members
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Whole buckets, many at a time, and runs of buckets of more than ``HOT`` rows (True)."""
+    held: list[pa.RecordBatch] = []  # the last bucket as far as it came
+    size, last, cut = 0, None, False
+
+    def grow(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, bool]]:
+        nonlocal held, size, cut
+        held.append(part)
+        size += part.num_rows
+        cut = cut or size > HOT
+        if cut and size >= RUN:
+            rows = pa.concat_batches(held)
+            whole = size - size % RUN
+            for at in range(0, whole, RUN):
+                yield rows.slice(at, RUN), True
+            held, size = [rows.slice(whole)], size - whole
+
+    def done() -> Iterator[tuple[pa.RecordBatch, bool]]:
+        nonlocal held, size, cut
+        if size:
+            yield pa.concat_batches(held), cut
+        held, size, cut = [], 0, False
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column("token").to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(token[1:] != token[:-1]) + 1
+        # Buckets that end in this batch go together, but for the first and for large ones.
+        own = [0, *edges[: 1 if token[0] == last else 0].tolist()]
+        for a, b in zip(edges, edges[1:]):
+            if b - a > HOT:
+                own += [int(a), int(b)]
+        own += [*edges[-1:].tolist(), batch.num_rows]
+        bounds = sorted(set(own))
+        for a, b in zip(bounds, bounds[1:]):
+            if token[a] != last:
+                yield from done()
+            last = token[b - 1]
+            if token[a] == last:
+                yield from grow(batch.slice(a, b - a))
+            else:
+                yield batch.slice(a, b - a), False
+    yield from done()
+
+
 def _buckets(percent: int):
     names = ["token", "shape", "sig", "proof", "id", "line"]
 
-    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(parts: list[pa.RecordBatch], cut: bool = False) -> Iterator[pa.RecordBatch]:
         batch = pa.concat_batches(parts)
         c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
         gone = c["shape"] < 0
         yield _pair_batch(c["id"][gone], c["line"][gone], c["sig"][gone], c["proof"][gone], True, False, c["token"][gone])
         c = {k: v[~gone] for k, v in c.items()}
-        c["n"] = c["shape"] >> (_PLACE_BITS + _HASH_BITS)
-        c["pos"] = (c["shape"] >> _HASH_BITS) & ((1 << _PLACE_BITS) - 1)
+        _unpack(c)
         if not len(c["n"]):
             return
         at = lambda rows: (c["id"][rows], c["line"][rows])
-        (again, first), (x, y, more), members = _bucket_pairs(c, percent)
+        (again, first), (x, y, more), members = _bucket_pairs(c, percent, cut)
         yield _pair_batch(*at(again), *at(first), True, False, c["token"][again])
         yield _pair_batch(*at(x), *at(y), False, more, c["token"][x])
-        yield _pair_batch(*at(members), None, None, False, False, c["token"][members])
+        entry = [c[k][members] for k in ("shape", "sig", "proof")] if cut else None
+        yield _pair_batch(*at(members), None, None, False, False, c["token"][members], entry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in whole_groups(batches, "token"):
+        for batch, cut in _runs(batches):
+            if cut:
+                yield from pairs([batch], True)
+                continue
             held.append(batch)
             size += batch.num_rows
             if size >= CHUNK:
@@ -357,7 +418,12 @@ def _buckets(percent: int):
     return run
 
 
-def _pair_batch(x_id, x_line, y_id, y_line, same, more, token) -> pa.RecordBatch:
+def _unpack(c: Rows) -> None:
+    c["n"] = c["shape"] >> (_PLACE_BITS + _HASH_BITS)
+    c["pos"] = (c["shape"] >> _HASH_BITS) & ((1 << _PLACE_BITS) - 1)
+
+
+def _pair_batch(x_id, x_line, y_id, y_line, same, more, token, entry=None) -> pa.RecordBatch:
     size = len(x_id)
     none = y_id is None
     return pa.RecordBatch.from_arrays(
@@ -369,11 +435,41 @@ def _pair_batch(x_id, x_line, y_id, y_line, same, more, token) -> pa.RecordBatch
             pa.array(np.broadcast_to(same, size)),
             pa.array(np.broadcast_to(more, size)),
             pa.array(token),
+            *(map(pa.array, entry) if entry else [pa.nulls(size, pa.int64())] * 3),
         ],
-        ["x_id", "x_line", "y_id", "y_line", "same", "more", "token"],
+        ["x_id", "x_line", "y_id", "y_line", "same", "more", "token", "shape", "sig", "proof"],
     )
 
 
+def _cell_pairs(percent: int):
+    """Of each cell, the ``FIRST`` closest earlier members of the open lines."""
+    names = ["cell", "token", "shape", "sig", "proof", "id", "line", "open"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, "cell"):
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            _unpack(c)
+            begin = np.flatnonzero(np.concatenate([[True], c["cell"][1:] != c["cell"][:-1]]))
+            for low, high in zip(begin, [*begin[1:], batch.num_rows]):
+                rows = np.arange(low, high)
+                members, size = rows[~c["open"][low:high]], c["n"][rows[~c["open"][low:high]]]
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+                for k in rows[c["open"][low:high]]:
+                    n = c["n"][k]
+                    y = members[np.searchsorted(100 * size, percent * n) : np.searchsorted(percent * size, 100 * n, "right")]
+                    y = y[(c["id"][y] < c["id"][k]) | ((c["id"][y] == c["id"][k]) & (c["line"][y] < c["line"][k]))]
+                    x = np.full(len(y), k)
+                    ok = _passes(c, x, y, percent)
+                    x, y = x[ok], y[ok]
+                    best = np.argsort(_differ(c, x, y), kind="stable")[:FIRST]
+                    found.append((x[best], y[best], np.full(len(best), len(y) > FIRST)))
+                x, y, more = (np.concatenate(v) for v in zip(*found))
+                at = lambda rows: (c["id"][rows], c["line"][rows])
+                yield _pair_batch(*at(x), *at(y), False, more, c["token"][x])
+
+    return run
+
+
 # --- verification ------------------------------------------------------------------
 
 
@@ -474,14 +570,14 @@ def _cell_matches(percent: int):
     return run
 
 
-def _second_round(members: DataFrame, open_: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Open lines ``(id, line, token)`` that an earlier member ``(id, line, token)`` of their
-    bucket matches. Cells are a block of open lines against a block of members."""
+def _cells(members: DataFrame, open_: DataFrame, block: int) -> DataFrame:
+    """``cell`` and ``open`` beside the rows: a block of open lines against one of members."""
     sizes = (
         members.groupBy("token")
-        .agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        .join(open_.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("opens")), "token")
+        .agg(F.ceil(F.count("*") / block).alias("blocks"))
+        .join(open_.groupBy("token").agg(F.ceil(F.count("*") / block).alias("opens")), "token")
     )
+    kept = members.columns
 
     def placed(rows: DataFrame, own: str, other: str, is_open: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("id", "line"), F.col(own))
@@ -489,11 +585,17 @@ def _second_round(members: DataFrame, open_: DataFrame, lines: DataFrame, percen
         pair = (F.col("mine"), F.col("theirs")) if is_open else (F.col("theirs"), F.col("mine"))
         return (
             rows.join(sizes, "token")
-            .select("id", "line", "token", mine.alias("mine"), theirs)
-            .select("id", "line", F.xxhash64("token", *pair).alias("cell"), F.lit(is_open).alias("open"))
+            .select(*kept, mine.alias("mine"), theirs)
+            .select(*kept, F.xxhash64("token", *pair).alias("cell"), F.lit(is_open).alias("open"))
         )
 
-    cells = placed(members, "blocks", "opens", False).union(placed(open_, "opens", "blocks", True))
+    return placed(members, "blocks", "opens", False).union(placed(open_, "opens", "blocks", True))
+
+
+def _second_round(members: DataFrame, open_: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Open lines ``(id, line, token)`` that an earlier member ``(id, line, token)`` of their
+    bucket matches. Cells are a block of open lines against a block of members."""
+    cells = _cells(members, open_, BLOCK).select("id", "line", "cell", "open")
     return (
         cells.join(lines, ["id", "line"])
         .repartition("cell")
@@ -502,6 +604,33 @@ def _second_round(members: DataFrame, open_: DataFrame, lines: DataFrame, percen
     )
 
 
+def _cut_round(hot: DataFrame, removed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Lines of buckets cut into runs that are not yet removed and that an earlier line of
+    their whole bucket matches. ``hot`` has the buckets' rows."""
+    open_ = materialize(hot.join(removed, ["id", "line"], "left_anti").select(*hot.columns))
+    near = materialize(
+        _cells(hot, open_, CELL)
+        .repartition("cell")
+        .sortWithinPartitions("cell", "shape")
+        .mapInArrow(_cell_pairs(percent), PAIR)
+    )
+    side = lambda s: near.select(F.col(f"{s}_id").alias("id"), F.col(f"{s}_line").alias("line"))
+    lines = materialize(_lines_of(side("x").union(side("y")), texts))
+    found = materialize(_verified(near, lines, percent).distinct().toDF("id", "line"))
+    rest = materialize(
+        near.where("more")
+        .select(F.col("x_id").alias("id"), F.col("x_line").alias("line"), "token")
+        .distinct()
+        .join(found, ["id", "line"], "left_anti")
+    )
+    if rest.isEmpty():
+        return found
+    members = materialize(hot.select("id", "line", "token").join(rest.select("token").distinct(), "token", "left_semi"))
+    words_of = materialize(_lines_of(members, texts))
+    again = _second_round(members.select("id", "line", "token"), rest, words_of, percent)
+    return materialize(found.union(again).distinct())
+
+
 # --- the operator ------------------------------------------------------------------
 
 
@@ -525,7 +654,7 @@ def repeated_lines(
     )
     # Lines of equal size, parity and set hash are repeats; the rest is compared on its words.
     near = proposed.where("y_id is not null and not same")
-    members = proposed.where("y_id is null").select(
+    members = proposed.where("y_id is null and shape is null").select(
         F.col("x_id").alias("id"), F.col("x_line").alias("line"), "token"
     )
     wanted = (
@@ -541,6 +670,11 @@ def repeated_lines(
         .distinct()
         .toDF("id", "line")
     )
+    hot = proposed.where("shape is not null").select(
+        "token", "shape", "sig", "proof", F.col("x_id").alias("id"), F.col("x_line").alias("line")
+    )
+    if not hot.isEmpty():
+        removed = removed.union(_cut_round(hot, removed, texts, percent))
     open_ = materialize(
         near.where("more")
         .select(F.col("x_id").alias("id"), F.col("x_line").alias("line"), "token")

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
@@ -171,6 +172,40 @@ def test_second_round_loses_no_match(spark, monkeypatch):
     assert {r.id for r in linedup.repeated_lines(docs).collect()} == expected
 
 
+def test_cut_buckets_lose_no_match(spark, monkeypatch):
+    """Buckets above a bound go in runs of bounded size and lose nothing."""
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(60)]
+    lines = []
+    for i in range(600):
+        line = words[:30]
+        for k in rng.sample(range(30), rng.choice([0, 1, 2, 3, 4, 5, 7])):
+            line[k] = rng.choice(words)
+        lines.append((i, " ".join(line)))
+    docs = spark.createDataFrame(lines, "doc_id bigint, text string")
+    sets = [set(t.split()) for _, t in lines]
+    expected = {
+        i for i in range(600) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))
+    }
+    assert {r.id for r in linedup.repeated_lines(docs).collect()} == expected
+    rounds, cut_round = [], linedup._cut_round
+    monkeypatch.setattr(linedup, "_cut_round", lambda *a: rounds.append(1) or cut_round(*a))
+    for first, hot, run, cell in ((4, 50, 16, 64), (1, 20, 7, 32)):
+        for name, value in (("FIRST", first), ("HOT", hot), ("RUN", run), ("CELL", cell)):
+            monkeypatch.setattr(linedup, name, value)
+        assert {r.id for r in linedup.repeated_lines(docs).collect()} == expected
+    assert len(rounds) == 2
+
+
+def test_a_large_bucket_is_never_in_memory_whole():
+    rows = [(t, k) for t, many in ((1, 3), (2, 90_000), (3, 2), (4, 40_000), (5, 1)) for k in range(many)]
+    table = pa.table({"token": [t for t, _ in rows], "k": [k for _, k in rows]})
+    got = list(linedup._runs(iter(table.to_batches(max_chunksize=10_000))))
+    assert pa.Table.from_batches([b for b, _ in got]).equals(table)
+    assert max(b.num_rows for b, cut in got if cut) <= linedup.RUN
+    assert all(set(b["token"].to_pylist()) <= {1, 3, 5} for b, cut in got if not cut)
+
+
 def test_near_copies_in_chains(spark):
     """A group whose members mostly match by way of others, in blocks smaller than it is."""
     rng = random.Random(6)
