@@ -25,8 +25,13 @@ SALTS = 64
 Encode = Callable[[str], list[int]]
 
 
-def byte_pair_encoder(ranks_file: str, pattern: str) -> Callable[[], Encode]:
-    """A maker of encoders for a rank file; special tokens in a text are ordinary text."""
+def byte_pair_encoder(
+    ranks_file: str, pattern: str, special: dict[str, int] | None = None
+) -> Callable[[], Encode]:
+    """A maker of encoders for a rank file. ``special`` tokens get their id wherever a text
+    holds them; all else is ordinary text."""
+    special = special or {}
+    key = (ranks_file, pattern, *sorted(special.items()))
 
     def make() -> Encode:
         import base64
@@ -35,13 +40,14 @@ def byte_pair_encoder(ranks_file: str, pattern: str) -> Callable[[], Encode]:
 
         # Kept with the library, so that a worker builds it once and not for every task.
         made = vars(tiktoken).setdefault("_encodings_by_file", {})
-        if (ranks_file, pattern) not in made:
+        if key not in made:
             with open(ranks_file, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            made[ranks_file, pattern] = tiktoken.Encoding(
-                "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+            made[key] = tiktoken.Encoding(
+                "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special
             )
-        return made[ranks_file, pattern].encode_ordinary
+        encoding = made[key]
+        return lambda text: encoding.encode(text, allowed_special="all")
 
     return make
 

@@ -61,10 +61,13 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def public_encoder():
-    """The encoder of the 50k byte-level vocabulary; its file is a parameter of the query."""
+    """The encoder of the 50k byte-level vocabulary with its one added token; the file is a
+    parameter of the query."""
     import public_tokenizers
 
-    return byte_pair_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_pair_encoder(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
+    )
 
 
 @query

@@ -74,6 +74,20 @@ def test_packing_query(spark, sf_dir):
     assert used <= 1.02 * math.ceil(total / 1024) + 1
 
 
+def test_added_tokens_in_a_text_get_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from penprint.llm.queries import public_encoder
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = public_encoder()()
+    end = "<|endoftext|>"
+    for text in (end, f"one {end} two", f"a{end}{end}\n b", f" {end} ", "<|endof text|> <|end", f"é's{end}'s 12", "", "plain words"):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode(text) == ids and (50256 in ids) == (end in text)
+
+
 def _brute_pipeline(rows, items, judged):
     """Line dedup, near-dedup and decontamination of the documents that the rules keep."""
     docs = {k: t for k, t in rows if judged[k]}
