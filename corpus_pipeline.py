@@ -18,8 +18,9 @@ from penprint.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, unchanged."""
-    return kept_documents(docs)
+    """Documents that pass the rules, without the lines that many texts of a source share."""
+    cut = kept_documents(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def shared_lines(
     return rows.join(frequent, ["host", "line"]).where("text_hash <> first").drop("first")
 
 
-def judge(
+def _judged(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -135,7 +135,7 @@ def judge(
 ) -> DataFrame:
     """``docs`` under the names c0, c1, ... with its measures and verdict.
 
-    Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    Adds ``cut_lines``, the hashes of the removed lines (null if there are none), and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_cut_words`` (words on removed lines, each distinct line once) and ``kept``. A document
     is kept unless it fails the base rules, or fewer than ``min_words`` words or
     ``keep_percent`` percent of its words are outside removed lines.
@@ -150,7 +150,7 @@ def judge(
     cut = (
         shared_lines(plain.where(F.col(key).isNotNull()), key, text, host, max_docs, percent)
         .groupBy("id", "text_hash")
-        .agg(F.sum("words").alias("cut"))
+        .agg(F.sum("words").alias("cut"), F.collect_set("line").alias("cut_lines"))
         .withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
     )
     measured = plain.withColumns(measures(F.col(text))).withColumn("_text_hash", F.xxhash64(text))
@@ -167,9 +167,15 @@ def judge(
         failed.alias("base_failed"),
         n_cut.alias("n_cut_words"),
         (~failed & ~depleted).alias("kept"),
+        "cut_lines",
     )
 
 
+def judge(docs: DataFrame, *args, **options) -> DataFrame:
+    """``docs`` under the names c0, c1, ... with its measures and verdict; see ``_judged``."""
+    return _judged(docs, *args, **options).drop("cut_lines")
+
+
 def quality_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: the id, its measures and its verdict."""
     judged = judge(docs, id_col, **options)
@@ -178,7 +184,17 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFr
     return judged.select(F.col(key).alias(id_col), *own)
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    judged = judge(docs, **options).where("kept")
-    return judged.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+def kept_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Boilerplate lines are cut out of the texts, wherever they stand in them; a text without
+    any stays as it is.
+    """
+    judged = _judged(docs, text_col=text_col, **options).where("kept")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    rest = F.filter(
+        F.split(text, "\n"), lambda x: ~F.array_contains("cut_lines", F.xxhash64(normal_line(x)))
+    )
+    cut = F.when(F.col("cut_lines").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+    return judged.select(*[cut.alias(c) if c == text else c for c in names]).toDF(*docs.columns)

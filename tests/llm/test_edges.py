@@ -102,6 +102,19 @@ def test_shared_lines_are_cut_and_the_first_text_keeps_them(spark):
     assert got[200].kept and all(got[300 + i].kept for i in range(50))
 
 
+def test_kept_documents_come_without_shared_lines(spark):
+    body = lambda i: " ".join(f"t{i}w{k}" for k in range(30))
+    boiler = "All rights reserved by the owners"
+    many = [(i, f"{boiler}\n{body(i)}\n\n  all RIGHTS reserved by  the owners \nend {i}", "h") for i in range(30)]
+    other = [(200, f"{body(200)}\n{boiler}", "elsewhere"), (201, None, "h"), (202, body(202), None)]
+    docs = table(spark, many + other)
+    kept = kept_documents(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: r.text for r in kept.collect()} == {
+        0: many[0][1], **{i: f"{body(i)}\n\nend {i}" for i in range(1, 30)}, 200: other[0][1], 202: other[2][1]
+    }
+
+
 def test_line_dedup(docs, none):
     got = rows(line_report(docs), "doc_id", "n_lines", "n_removed", "removed")
     assert got[1:6] == [(1, 1, 0, ""), (2, 1, 1, "0"), (3, 0, 0, ""), (4, 1, 0, ""), (5, 2, 0, "")]
