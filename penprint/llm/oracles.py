@@ -202,3 +202,26 @@ SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_li
 FROM documents d LEFT JOIN (
     SELECT doc_id, count(*) AS n, string_agg(k::VARCHAR, ',' ORDER BY k) AS l FROM gone GROUP BY doc_id) g USING (doc_id)
 """
+
+ORACLES["op12_multi_index"] = r"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+good AS (
+    SELECT * FROM r WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))), true)
+    AND coalesce(list_bool_or(list_transform(v, lambda x: x IS NOT NULL AND x <> 0)), false)),
+dim AS (SELECT len(v) AS d FROM good GROUP BY 1 ORDER BY count(*) DESC, d DESC LIMIT 1),
+ok AS (SELECT good.* FROM good JOIN dim ON len(v) = d),
+pairs AS (
+    SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid
+    WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+links AS (SELECT a AS rid, count(*) AS n FROM pairs GROUP BY a),
+reach(rid, c) AS (
+    SELECT rid, vec_id FROM ok
+    UNION
+    SELECT p.b, reach.c FROM reach JOIN pairs p ON reach.rid = p.a),
+comp AS (SELECT rid, min(c) AS c FROM reach GROUP BY rid)
+SELECT r.vec_id, coalesce(links.n, 0)::BIGINT AS n_links,
+    coalesce(comp.c, r.vec_id)::BIGINT AS component_id,
+    coalesce(r.vec_id = coalesce(comp.c, r.vec_id), false) AS kept
+FROM r LEFT JOIN links USING (rid) LEFT JOIN comp USING (rid)
+"""

@@ -16,6 +16,8 @@ from .pii import personal_data_report
 from .quality import quality_report
 from .shards import shard_documents
 from .urlrules import judge_urls
+from .vectordedup import near_duplicate_vectors
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +100,13 @@ def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_weighted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=4)
+
+
+@query
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
