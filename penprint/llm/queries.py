@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .packing import byte_pair_encoder, pack_documents
 from .perspectives import rotate
 from .pii import personal_data_report
+from .prefixtrie import prefix_trie
 from .quality import quality_report
 from .shards import shard_documents
 from .urlrules import judge_urls
@@ -110,3 +111,8 @@ def op11_weighted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op13_veb_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"), group=100, cuts=6)
