@@ -352,9 +352,29 @@ FROM documents d JOIN w USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN s US
     "standard_scale": f"""WITH x AS ({_doc_features(digits=15)}),
 m AS (SELECT {MOMENTS} FROM x WHERE {IN_TRAIN})
 SELECT doc_id, {SCALE} FROM x, m""",
-    "prepare_features": f"""WITH x AS (SELECT f.*, quality FROM ({_doc_features(digits=15)}) f JOIN labels USING (doc_id)),
-m AS (SELECT {MOMENTS} FROM x WHERE {IN_TRAIN})
-SELECT doc_id, quality, {SCALE} FROM x, m""",
+    "prepare_features": _with(
+        f"x AS (SELECT f.*, quality FROM ({_doc_features(digits=15)}) f JOIN labels USING (doc_id))",
+        GRAMS.replace("FROM documents", "FROM x"),
+        SENTENCE_LENGTHS.replace("FROM documents", "FROM x"),
+        recursive=True,
+    )
+    + f""", m AS (SELECT {MOMENTS} FROM x WHERE {IN_TRAIN}),
+tf AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY ALL),
+train AS (SELECT doc_id FROM x WHERE {IN_TRAIN}),
+vocab AS (SELECT gram, ln((1 + (SELECT count(*) FROM train)) / (1 + count(*))) + 1 AS idf
+  FROM tf JOIN train USING (doc_id) GROUP BY gram HAVING count(*) >= 2),
+v AS (SELECT doc_id, tf * idf AS v FROM tf JOIN vocab USING (gram)),
+norm AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM v GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS grams, sum(v / norm) AS total, max(v / norm) AS top, sum((v / norm) * (v / norm)) AS squares
+  FROM v JOIN norm USING (doc_id) GROUP BY doc_id),
+w AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '{WORD}'),
+    lambda t: t IN {_in(FUNCTION_WORDS)} AND length(t) > 1)) / greatest({_words('text')}, 1) AS rate FROM x),
+s AS (SELECT doc_id, avg(n) AS mean, stddev_pop(n) AS std, min(n) AS low, max(n) AS high FROM lengths GROUP BY doc_id)
+SELECT x.doc_id, quality, round(w.rate, 6) AS word_rate, coalesce(g.grams, 0) AS grams, round(coalesce(g.total, 0), 6) AS weight_sum,
+  round(g.top, 6) AS weight_max, round(coalesce(g.squares, 0), 6) AS squares, coalesce(round(mean, 6), 0) AS sentence_mean,
+  coalesce(round(std, 6), 0) AS sentence_std, coalesce(low, 0)::DOUBLE AS sentence_min, coalesce(high, 0)::DOUBLE AS sentence_max,
+  {SCALE}
+FROM x JOIN w USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN s USING (doc_id), m""",
     # modelling and evaluation
     "label_encode": """SELECT doc_id, lang, (dense_rank() OVER (ORDER BY lang) - 1)::DOUBLE AS label_index FROM documents""",
     "stratified_split": f"""WITH h AS (SELECT doc_id, lang, {HASH} AS hash FROM documents),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..functions.labels import LABEL_KEYS, STORY_TEXT_KEYS, build_metadata, normalize_label
 from ..functions.words import CLAUSE_DEPS, FUNCTION_WORDS, LITERAL_WORDS
+from ..operators import vocabulary as vc
 from ..operators import (
     chunks as ch,
     columns as co,
@@ -516,40 +516,34 @@ def q_sentence_stats(spark, sf):
     return rounded(stats, "sentence_mean", "sentence_std")
 
 
-def _tail(vectors: DataFrame, names: list[str], *keep: str) -> DataFrame:
-    """The last entries of the ``features`` vectors as columns."""
-    width = vectors.select("features").first()[0].size
-    cut = VectorSlicer(
-        inputCol="features", outputCol="_tail", indices=list(range(width - len(names), width))
-    ).transform(vectors)
-    values = vector_to_array("_tail")
-    return cut.select(*keep, *[F.round(F.get(values, F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
+def _block_figures(block: str, words: int, grams: int) -> list:
+    """Figures that read every entry of a baseline block from its sparse form.
+
+    The block holds function-word rates, then ``grams`` n-gram weights, then four
+    sentence statistics; nothing is made dense.
+    """
+    b = F.col(block)
+    rates = vc.block_entries(b, 0, words)
+    weights = vc.block_entries(b, words, words + grams)
+    summed = lambda c, f: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + f(x))
+    stats = [vc.block_value(b, words + grams + i) for i in range(4)]
+    return [
+        summed(rates, lambda x: x).alias("word_rate"),
+        F.size(weights).cast("bigint").alias("grams"),
+        summed(weights, lambda x: x).alias("weight_sum"),
+        F.array_max(weights).alias("weight_max"),
+        summed(weights, lambda x: x * x).alias("squares"),
+        *[v.alias(f"sentence_{n}") for v, n in zip(stats, ("mean", "std", "min", "max"))],
+    ]
 
 
 @query
 def q_feature_union(spark, sf):
-    """Every entry of the joined vectors of all texts counts in some figure."""
+    """Every entry of the joined blocks of all texts counts in some figure."""
     docs = materialize(si.documents(spark, sf, "text"))
-    vectors = md.fit_baseline(docs).transform(docs, "features")
-    width = vectors.select("features").first()[0].size
-    words = len(FUNCTION_WORDS)
-    values = F.col("values")
-    parts = vectors.select("doc_id", vector_to_array("features").alias("values")).select(
-        "doc_id",
-        F.slice(values, 1, words).alias("rates"),
-        F.array_remove(F.slice(values, words + 1, width - words - 4), F.lit(0.0)).alias("weights"),
-        F.slice(values, width - 3, 4).alias("stats"),
-    )
-    summed = lambda c, f: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + f(x))
-    figures = parts.select(
-        "doc_id",
-        summed("rates", lambda x: x).alias("word_rate"),
-        F.size("weights").cast("bigint").alias("grams"),
-        summed("weights", lambda x: x).alias("weight_sum"),
-        F.array_max("weights").alias("weight_max"),
-        summed("weights", lambda x: x * x).alias("squares"),
-        *[F.get("stats", F.lit(i)).alias(f"sentence_{n}") for i, n in enumerate(("mean", "std", "min", "max"))],
-    )
+    fitted = md.fit_baseline(docs)
+    joined = fitted.transform(docs, "features")
+    figures = joined.select("doc_id", *_block_figures("features", len(FUNCTION_WORDS), fitted.tfidf.size))
     return rounded(figures, *[c for c in figures.columns if c not in ("doc_id", "grams")])
 
 
@@ -566,10 +560,17 @@ def q_standard_scale(spark, sf):
 
 @query
 def q_prepare_features(spark, sf):
+    """All blocks of the combined features of the labelled texts, fitted on the train split."""
     labels = si.table(spark, sf, "labels").select("doc_id", "quality")
     features = materialize(_feature_rows(spark, sf).join(labels, "doc_id"))
     fitted = md.fit_features(_in_train(features), "combined", SYNTAX)
-    return _tail(fitted.transform(features), SYNTAX, "doc_id", "quality")
+    words, grams = len(FUNCTION_WORDS), fitted.baseline.tfidf.size
+    blocks = md.add_syntax(fitted.baseline.transform(features, "_baseline"), fitted.scaler, "_syntax")
+    joined = md.feature_union(blocks, ["_baseline", "_syntax"], "features", vector=False)
+    first = fitted.baseline.width
+    scaled = [F.round(vc.block_value(F.col("features"), first + i), 6).alias(c) for i, c in enumerate(SYNTAX)]
+    figures = joined.select("doc_id", "quality", *_block_figures("features", words, grams), *scaled)
+    return rounded(figures, *[c for c in figures.columns if c not in ("doc_id", "quality", "grams", *SYNTAX)])
 
 
 # --- modelling and evaluation ------------------------------------------------------

@@ -246,10 +246,37 @@ def test_tfidf_table_and_vectors_agree_with_brute_force(spark):
     for i, want in enumerate(expected):
         assert got[i] == pytest.approx(want)
     block = md.fit_baseline(rows.where("id < 4"))
-    grams = block.counts.vocabulary
-    for r in block.transform(rows).select("id", vector_to_array("baseline").alias("v")).collect():
-        values = dict(zip(grams, r.v[54 : 54 + len(grams)]))
-        assert {g: v for g, v in values.items() if v} == pytest.approx(expected[r.id])
+    grams = {r.id: r.gram for r in block.tfidf.vocabulary.collect()}
+    assert sorted(grams) == list(range(len(grams))) and list(dict(sorted(grams.items())).values()) == sorted(grams.values())
+    for r in block.transform(rows).select("id", "baseline").collect():
+        b = r.baseline
+        assert b.size == 54 + len(grams) + 4
+        values = {grams[i - 54]: v for i, v in zip(b.indices, b.values) if 54 <= i < 54 + len(grams)}
+        assert values == pytest.approx(expected[r.id])
+        assert list(b.indices) == sorted(b.indices)
+
+
+def test_dense_ids_against_row_number(spark):
+    from penprint.operators.vocabulary import dense_ids
+
+    words = [f"w{(i * 7919) % 5003:05d}" for i in range(5003)]
+    table = spark.createDataFrame([(w, len(w)) for w in words], "gram string, n int")
+    got = {r.gram: r.id for r in dense_ids(table, "gram", partitions=7).collect()}
+    assert got == {w: i for i, w in enumerate(sorted(words))}
+    assert dense_ids(table.where("n < 0"), "gram").collect() == []
+
+
+def test_feature_union_of_sparse_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from penprint.operators.vocabulary import dense_block, union_blocks
+
+    df = spark.createDataFrame([([1.0, 0.0, 2.0], [0.0, 5.0])], "a array<double>, b array<double>")
+    joined = df.select(union_blocks(dense_block(F.col("a"), 3), dense_block(F.col("b"), 2)).alias("u"))
+    u = joined.first().u
+    assert (u.size, list(u.indices), list(u.values)) == (5, [0, 2, 4], [1.0, 2.0, 5.0])
+    v = md.feature_union(joined, ["u"], "v").first().v
+    assert v.toArray().tolist() == [1.0, 0.0, 2.0, 0.0, 5.0]
 
 
 def test_svd_matches_numpy(spark):
