@@ -2,9 +2,11 @@
 
 import glob
 import os
+import re
 
 from pyspark.sql import functions as F
 
+from penprint.operators import stylometry as st, vocabulary as vc
 from penprint.operators.parses import cache_rows, sentence_rows
 from penprint.schemas import PARSES
 from penprint.sinks import tables as sk
@@ -38,3 +40,40 @@ def test_json_cache_is_packed_and_reads_back(spark, tmp_path):
     key = lambda r: r.sentence_id
     back = [sorted(stb.read_parse_cache(spark, p).collect(), key=key) for p in (packed, plain)]
     assert back[0] == back[1] == sorted(cache.collect(), key=key)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _texts(spark):
+    rows = [(i, f"some {i % 3} words are here and there, {i} of them") for i in range(40)]
+    return spark.createDataFrame([*rows, (None, "some words"), (7, "words are"), (8, None)], "k bigint, text string")
+
+
+def test_block_weights_take_the_norm_once(spark):
+    texts = _texts(spark)
+    fitted = st.fit_char_ngrams(texts)
+    blocks = fitted.blocks(texts.where("k > 8"), "k")
+    # The norm, a sum over the row, must not stand inside the function of each entry.
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sqrt(" in plan and not re.search(r"\.x / sqrt\(", plan)
+    weights = {r.k: sorted(r.w) for r in fitted.transform(texts.where("k > 8"), "k").groupBy("k").agg(F.collect_list("weight").alias("w")).collect()}
+    for row in blocks.collect():
+        assert sorted(row.tfidf["values"]) == weights[row.k]
+        assert abs(sum(v * v for v in weights[row.k]) - 1) < 1e-9
+
+
+def test_grams_are_not_shuffled(spark):
+    texts = _texts(spark)
+    plan = _plan(st.fit_char_ngrams(texts).transform(texts, "k").groupBy("k").count())
+    # One exchange of the texts; what reads their grams finds them in place.
+    assert len(re.findall(r"Exchange hashpartitioning\(k#", plan)) == 1, plan
+
+
+def test_block_value_finds_and_misses(spark):
+    block = F.struct(
+        F.lit(9).alias("size"), F.array(F.lit(1), F.lit(4)).alias("indices"), F.array(F.lit(0.5), F.lit(2.0)).alias("values")
+    )
+    row = spark.range(1).select(*[vc.block_value(block, i).alias(f"v{i}") for i in (0, 1, 4, 8)]).first()
+    assert tuple(row) == (0.0, 0.5, 2.0, 0.0)
