@@ -425,7 +425,7 @@ def q_sentence_features(spark, sf):
 @query
 def q_motif_merge(spark, sf):
     sentences = pa.sentence_rows(si.parses(spark, sf))
-    each = mo.motif_counts(sentences)
+    each = mo.motif_counts(sentences, by=("text_id",))
     return mo.merge_motifs(each.withColumn("chunk_id", F.lit(0))).drop("chunk_id")
 
 

@@ -129,7 +129,7 @@ def expand_motifs(
 
 
 def merge_motifs(counts: DataFrame) -> DataFrame:
-    """Sum motif counts per chunk; partial sums are formed before the one shuffle."""
+    """Sum motif counts per chunk; nothing is shuffled when rows are dealt by id already."""
     return counts.groupBy("text_id", "chunk_id", "motif").agg(
         F.sum("cnt").alias("cnt")
     )
@@ -141,11 +141,16 @@ def motif_counts(
     words: list[str] = (),
     min_leaves: int = MIN_LEAVES,
     count_type: str = "bigint",
+    by: tuple[str, ...] = ("text_id", "chunk_id"),
 ) -> DataFrame:
-    """Long motif table ``(text_id, chunk_id, motif, cnt)``."""
-    return merge_motifs(
-        expand_motifs(head_bags(parses, mode, words, min_leaves), min_leaves, count_type)
-    )
+    """Long motif table ``(text_id, chunk_id, motif, cnt)``.
+
+    Bags are dealt by the columns ``by`` before they are expanded, so the sums find their
+    rows in place and the motifs themselves are never shuffled. ``("text_id",)`` keeps the
+    chunks of a text together for a later sum per text; it asks for ids of single texts.
+    """
+    bags = head_bags(parses, mode, words, min_leaves).repartition(*by)
+    return merge_motifs(expand_motifs(bags, min_leaves, count_type))
 
 
 def top_motifs(counts: DataFrame, n: int) -> list[str]:

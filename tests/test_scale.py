@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from penprint.operators import stylometry as st, vocabulary as vc
+from penprint.operators.motifs import expand_motifs, head_bags, merge_motifs, motif_counts
 from penprint.operators.parses import cache_rows, sentence_rows
 from penprint.schemas import PARSES
 from penprint.sinks import tables as sk
@@ -67,8 +68,9 @@ def test_block_weights_take_the_norm_once(spark):
 def test_grams_are_not_shuffled(spark):
     texts = _texts(spark)
     plan = _plan(st.fit_char_ngrams(texts).transform(texts, "k").groupBy("k").count())
-    # One exchange of the texts; what reads their grams finds them in place.
+    # The one exchange by key stands below the explode: it deals texts, not their grams.
     assert len(re.findall(r"Exchange hashpartitioning\(k#", plan)) == 1, plan
+    assert plan.index("Exchange hashpartitioning(k#") > plan.rindex("Generate explode"), plan
 
 
 def test_block_value_finds_and_misses(spark):
@@ -77,3 +79,15 @@ def test_block_value_finds_and_misses(spark):
     )
     row = spark.range(1).select(*[vc.block_value(block, i).alias(f"v{i}") for i in (0, 1, 4, 8)]).first()
     assert tuple(row) == (0.0, 0.5, 2.0, 0.0)
+
+
+def test_motifs_are_summed_without_a_shuffle(spark):
+    parses = _parses(spark, [_sentence(5, 1), _sentence(7, 2)], [_sentence(6, 1)], [])
+    counted = motif_counts(parses)
+    # The bags are dealt once; their expansion, which is far larger, stays in place.
+    assert len(re.findall(r"Exchange ", _plan(counted))) == 1
+    assert "chunk_id" in re.search(r"Exchange hashpartitioning\(([^)]*)", _plan(counted)).group(1)
+    per_text = merge_motifs(motif_counts(sentence_rows(parses), by=("text_id",)).withColumn("chunk_id", F.lit(0)))
+    assert len(re.findall(r"Exchange ", _plan(per_text))) == 1
+    plain = merge_motifs(expand_motifs(head_bags(parses)))
+    assert sorted(counted.collect()) == sorted(per_text.collect()) == sorted(plain.collect())
