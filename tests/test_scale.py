@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from penprint.catalog import standins as si
 from penprint.operators import stylometry as st, vocabulary as vc
 from penprint.operators.motifs import expand_motifs, head_bags, merge_motifs, motif_counts
 from penprint.operators.parses import cache_rows, sentence_rows
@@ -91,3 +92,43 @@ def test_motifs_are_summed_without_a_shuffle(spark):
     assert len(re.findall(r"Exchange ", _plan(per_text))) == 1
     plain = merge_motifs(expand_motifs(head_bags(parses)))
     assert sorted(counted.collect()) == sorted(per_text.collect()) == sorted(plain.collect())
+
+
+def _stand_in(text):
+    """The stand-in sentences of a text, word by word."""
+    if text is None:
+        return None
+    found = []
+    for number, piece in enumerate(re.split("\u0001", re.sub(r"([.!?]+)[ \t\n\x0b\f\r]+", "\\1\u0001", text)), 1):
+        w = re.findall(r"\w+", piece)
+        n = len(w)
+        up = lambda i: max(i - 1, 0) // 4
+        head = [n - 1 - up(n - 1 - i) if n % 2 else up(i) for i in range(n)]
+        ends = [len(" ".join(w[: i + 1])) for i in range(n)]
+        if w:
+            found.append((
+                number, " ".join(w), head, [si.POS[len(x) % 7] for x in w],
+                ["ROOT" if h == i else si.DEP[i % 8] for i, h in enumerate(head)],
+                [x.lower() for x in w], [e - len(x) for e, x in zip(ends, w)], ends,
+            ))
+    return found
+
+
+ODD_TEXTS = [
+    None, "", "...", " \n", "One. Two! three?", "a.\u0001b", ". . a", "end.\n\n\nNext? ! ok", "no end", "x.y z",
+    "\u0391\u03a3 \u0391\u03a3. \u03a3 \u0391\u03a3.\u0392", "\u0130x Stra\u00dfe \u4e2d \uff11\uff12 _a", "\U0001d49cB \U0001f600 c.\u00a0d", "\x00a?\x85b",
+    " ".join(f"w{i}" for i in range(501)), None, "last",
+]
+
+
+def test_stand_in_parse_is_made_in_batches(spark, tmp_path, monkeypatch):
+    rows = [(None if i == 4 else i // 2, t, "s") for i, t in enumerate(ODD_TEXTS)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for size in (1 << 20, 8):
+        monkeypatch.setattr(si, "SLICE_BYTES", size)
+        parses = si.parses(spark, str(tmp_path), "source")
+        # No function per word in the plan; the words of a sentence are counted once.
+        assert "MapInArrow" in _plan(parses) and "lambda" not in _plan(parses)
+        got = [(r.text_id, r.text, r.sents and [tuple(s) for s in r.sents]) for r in parses.collect()]
+        want = [(k, t, _stand_in(t)) for k, t, _ in rows]
+        assert sorted(map(repr, got)) == sorted(repr((k, t, s and s)) for k, t, s in want)
