@@ -37,17 +37,12 @@ def tokens_with_head(parses: DataFrame) -> DataFrame:
 def labelled_tokens(
     parses: DataFrame, mode: str = "category", words: list[str] = ()
 ) -> DataFrame:
-    """Each token with its leaf label."""
-    return token_table(
-        parses,
-        lower=lambda s: s["lower"],
-        label=lambda s: F.transform(
-            s["lower"],
-            lambda w, i: trees.child_label(
-                w, F.get(s["pos"], i), F.get(s["dep"], i), mode, words
-            ),
-        ),
+    """Each token with its leaf label, made from the flat columns of its row."""
+    flat = token_table(
+        parses, lower=lambda s: s["lower"], pos=lambda s: s["pos"], dep=lambda s: s["dep"]
     )
+    label = trees.child_label(F.col("lower"), F.col("pos"), F.col("dep"), mode, words)
+    return flat.withColumn("label", label).drop("pos", "dep")
 
 
 def clause_filter(flat: DataFrame) -> DataFrame:

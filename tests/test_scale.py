@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from penprint.catalog import standins as si
-from penprint.operators import stylometry as st, vocabulary as vc
+from penprint.operators import stylometry as st, trees as tr, vocabulary as vc
 from penprint.operators.motifs import expand_motifs, head_bags, merge_motifs, motif_counts
 from penprint.operators.parses import cache_rows, sentence_rows
 from penprint.schemas import PARSES
@@ -132,3 +132,13 @@ def test_stand_in_parse_is_made_in_batches(spark, tmp_path, monkeypatch):
         got = [(r.text_id, r.text, r.sents and [tuple(s) for s in r.sents]) for r in parses.collect()]
         want = [(k, t, _stand_in(t)) for k, t, _ in rows]
         assert sorted(map(repr, got)) == sorted(repr((k, t, s and s)) for k, t, s in want)
+
+
+def test_labels_are_made_outside_of_array_functions(spark):
+    parses = _parses(spark, [_sentence(5, 1), _sentence(4, 2)], [], None)
+    labelled = tr.labelled_tokens(parses, "mixed", ["w1"])
+    assert not re.search(r"lambdafunction\([^\n]*pos:", _plan(labelled))
+    assert labelled.columns == ["text_id", "chunk_id", "sent_id", "token_i", "lower", "label"]
+    found = [(r.sent_id, r.token_i, r.label) for r in labelled.collect()]
+    assert sorted(found)[:3] == [(1, 0, "pos:NOUN|dep:ROOT"), (1, 1, "tok:w1"), (1, 2, "pos:NOUN|dep:obj")]
+    assert len(found) == 9
