@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .arrays import bind, positions, run_lengths, run_starts, total
-from .words import CLAUSE_DEPS
 
 
 def _rounds(longest: Column) -> Column:
@@ -21,19 +20,44 @@ def _rounds(longest: Column) -> Column:
 
 
 def climb(head: Column) -> Column:
-    """``struct<root, depth>``: each token's root and its distance from it."""
+    """``struct<root, depth>``: each token's root and its distance from it.
+
+    The rounds are enough for a chain; a round that moves no token ends the work, and the
+    rest of them only hand their state on.
+    """
     start = F.struct(
         head.alias("root"),
         F.transform(head, lambda h, i: F.when(h == i, 0).otherwise(1)).alias("depth"),
+        F.lit(False).alias("done"),
     )
-    return F.aggregate(
-        _rounds(F.size(head) - 1),
-        start,
-        lambda acc, _: F.struct(
-            F.transform(acc["root"], lambda h: F.get(acc["root"], h)).alias("root"),
+
+    def climbed(acc: Column, up: Column) -> Column:
+        return F.struct(
+            up.alias("root"),
             F.transform(
                 acc["depth"], lambda d, i: d + F.get(acc["depth"], F.get(acc["root"], i))
             ).alias("depth"),
+            F.lit(False).alias("done"),
+        )
+
+    def arrived(acc: Column) -> Column:
+        return F.struct(
+            acc["root"].alias("root"), acc["depth"].alias("depth"), F.lit(True).alias("done")
+        )
+
+    return F.aggregate(
+        _rounds(F.size(head) - 1),
+        start,
+        lambda acc, _: F.when(acc["done"], acc).otherwise(
+            bind(
+                F.transform(acc["root"], lambda h: F.get(acc["root"], h)),
+                lambda up: F.when(
+                    # Not so in a circle, or with heads outside the sentence (null here).
+                    (up == acc["root"])
+                    & ~F.exists(up, lambda h: F.coalesce(F.get(acc["depth"], h) != 0, F.lit(True))),
+                    arrived(acc),
+                ).otherwise(climbed(acc, up)),
+            )
         ),
     )
 
@@ -126,13 +150,20 @@ def _longest_run(ordered: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(run_lengths(ordered), lambda r: r["n"])), F.lit(0))
 
 
+def _most_frequent(values: Column) -> Column:
+    """How often the most frequent value occurs; mostly all are one value."""
+    return F.when(F.size(F.array_distinct(values)) == 1, F.size(values)).otherwise(
+        _longest_run(F.sort_array(values))
+    )
+
+
 def sentence_summary(sentence: Column) -> Column:
-    """The few numbers of a sentence from which all chunk features follow.
+    """The few numbers of a sentence from which all chunk features but clause counts follow.
 
     The sum of subtree sizes is the sum of ``depth + 1``, every forest has a leaf, and
     the largest subtree hangs below a root, so no ancestor closure is needed.
     """
-    head, dep = sentence["head"], sentence["dep"]
+    head = sentence["head"]
     return bind(
         climb(head),
         lambda c: F.struct(
@@ -141,15 +172,16 @@ def sentence_summary(sentence: Column) -> Column:
             total(c["depth"]).alias("depth_sum"),
             F.coalesce(F.array_max(c["depth"]), F.lit(0)).alias("depth_max"),
             _longest_run(child_heads(head)).alias("branching_max"),
-            _longest_run(F.sort_array(c["root"])).alias("subtree_max"),
-            *[
-                total(F.transform(dep, lambda d: (d == name).cast("int"))).alias(name)
-                for name in CLAUSE_DEPS
-            ],
+            _most_frequent(c["root"]).alias("subtree_max"),
         ),
     )
 
 
+def count_of(values: Column, value: str) -> Column:
+    """How often ``value`` stands in an array of strings, without a function per element."""
+    return (F.size(values) - F.size(F.array_remove(values, value))).cast("bigint")
+
+
 def child_label(
     lower: Column, pos: Column, dep: Column, mode: str = "category", words: list[str] = ()
 ) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import total
-from ..functions.trees import sentence_summary
+from ..functions.trees import count_of, sentence_summary
 from ..functions.words import CLAUSE_DEPS
 from .joins import sized_join
 
@@ -23,10 +23,16 @@ def distribution_summary(values: Column) -> list[Column]:
 def chunk_features(parses: DataFrame, keep: list[str] = ()) -> DataFrame:
     """One row per chunk: counts, three distributions and clause counts.
 
-    All of it follows from a short summary per sentence, added up inside the row.
+    All of it follows from a short summary per sentence, added up inside the row, and from
+    the relations of all its tokens.
     """
     staged = parses.select(
-        "text_id", "chunk_id", "text", *keep, F.transform("sents", sentence_summary).alias("m")
+        "text_id",
+        "chunk_id",
+        "text",
+        *keep,
+        F.transform("sents", sentence_summary).alias("m"),
+        F.flatten("sents.dep").alias("_deps"),
     )
 
     def add(field: str) -> Column:
@@ -45,7 +51,11 @@ def chunk_features(parses: DataFrame, keep: list[str] = ()) -> DataFrame:
         add("depth_sum").alias("_depths"),
         add("arcs").alias("_arcs"),
         *[most(f).alias(f"_{f}") for f in ("depth_max", "branching_max", "subtree_max")],
-        *[add(d).alias(f"clause_{d}_count") for d in CLAUSE_DEPS],
+        # Looking for a value gives null where an array has nulls: then the count is unknown.
+        *[
+            F.when(F.array_contains("_deps", "").isNotNull(), count_of(F.col("_deps"), d)).alias(f"clause_{d}_count")
+            for d in CLAUSE_DEPS
+        ],
     )
     n = F.col("token_count")
     zero = F.lit(0.0)
@@ -81,14 +91,9 @@ def token_sentence_counts(parses: DataFrame) -> DataFrame:
 
 
 def clause_counts(parses: DataFrame) -> DataFrame:
-    def count(name: str) -> Column:
-        return total(
-            F.col("sents"),
-            lambda s: F.size(F.filter(s["dep"], lambda d: d == name)),
-        )
-
+    deps = F.flatten("sents.dep")
     return parses.select(
-        "text_id", "chunk_id", *[count(d).alias(f"clause_{d}_count") for d in CLAUSE_DEPS]
+        "text_id", "chunk_id", *[count_of(deps, d).alias(f"clause_{d}_count") for d in CLAUSE_DEPS]
     )
 
 

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from penprint.catalog import standins as si
-from penprint.operators import stylometry as st, trees as tr, vocabulary as vc
+from penprint.functions import trees as fn
+from penprint.operators import features as ft, stylometry as st, trees as tr, vocabulary as vc
 from penprint.operators.motifs import expand_motifs, head_bags, merge_motifs, motif_counts
 from penprint.operators.parses import cache_rows, sentence_rows
 from penprint.schemas import PARSES
@@ -142,3 +143,36 @@ def test_labels_are_made_outside_of_array_functions(spark):
     found = [(r.sent_id, r.token_i, r.label) for r in labelled.collect()]
     assert sorted(found)[:3] == [(1, 0, "pos:NOUN|dep:ROOT"), (1, 1, "tok:w1"), (1, 2, "pos:NOUN|dep:obj")]
     assert len(found) == 9
+
+
+def test_clauses_are_counted_over_the_whole_chunk(spark):
+    def sentence(*deps):
+        return {**_sentence(len(deps)), "dep": list(deps)}
+
+    parses = _parses(
+        spark, [sentence("acl", "acl", "ccomp"), sentence("x", "acl")], [], None, [sentence("acl", None)]
+    )
+    counts, features = ft.clause_counts(parses), ft.chunk_features(parses)
+    assert "lambda" not in _plan(counts) and "= acl" not in _plan(features)
+    names = ("clause_acl_count", "clause_ccomp_count", "clause_relcl_count")
+    of = lambda df: [tuple(r[n] for n in names) for r in df.orderBy("text_id").collect()]
+    assert of(counts) == [(3, 1, 0), (0, 0, 0), (None,) * 3, (1, 0, 0)]
+    assert of(features) == [(3, 1, 0), (0, 0, 0), (None,) * 3, (None,) * 3]
+
+
+def test_climbing_ends_when_all_have_arrived(spark):
+    def doubled(head):
+        root, depth = head, [int(h != i) for i, h in enumerate(head)]
+        at = lambda v, i: None if i is None or not 0 <= i < len(v) else v[i]
+        for _ in range(max(len(head) - 2, 0).bit_length()):
+            depth = [None if None in (d, at(depth, r)) else d + at(depth, r) for d, r in zip(depth, root)]
+            root = [at(root, r) for r in root]
+        return root, [d or 0 for d in depth]  # an unknown depth reads as 0
+
+    # A chain, a star, two roots, circles, a head outside, all roots.
+    heads = [[0, 0, 1, 2, 3, 4, 5, 6, 7], [3] * 7, [0, 0, 2, 2, 3], [1, 0, 0, 2, 3], [1, 2, 0, 3, 3, 4], [0, 9, 1, 2, 0], [0, 1, 2], [0], []]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, head array<int>")
+    made = df.select("i", fn.climb(F.col("head")).alias("c"))
+    assert "done" in made._jdf.queryExecution().analyzed().toString()
+    for r in made.collect():
+        assert (r.c.root, r.c.depth) == doubled(heads[r.i]), heads[r.i]
