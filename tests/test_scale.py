@@ -4,11 +4,12 @@ import glob
 import os
 import re
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from penprint.catalog import standins as si
 from penprint.functions import trees as fn
-from penprint.operators import features as ft, stylometry as st, trees as tr, vocabulary as vc
+from penprint.operators import features as ft, models as md, stylometry as st, trees as tr, vocabulary as vc
 from penprint.operators.motifs import expand_motifs, head_bags, merge_motifs, motif_counts
 from penprint.operators.parses import cache_rows, sentence_rows
 from penprint.schemas import PARSES
@@ -176,3 +177,25 @@ def test_climbing_ends_when_all_have_arrived(spark):
     assert "done" in made._jdf.queryExecution().analyzed().toString()
     for r in made.collect():
         assert (r.c.root, r.c.depth) == doubled(heads[r.i]), heads[r.i]
+
+
+def _points(spark, n):
+    rows = [(i, float(i * 7 % 5 > 2), float(i % 13), float(i * i % 17)) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id int, label double, a double, b double").coalesce(1)
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+
+
+def test_forest_rows_use_the_cores(spark):
+    many, few = _points(spark, 2000), _points(spark, 300)
+    dealt = md.forest_rows(many, 2000)
+    assert dealt.rdd.getNumPartitions() == min(spark.sparkContext.defaultParallelism, 4)
+    assert sorted(dealt.collect()) == sorted(many.collect())
+    assert md.forest_rows(few, 300).rdd.getNumPartitions() == 1
+
+
+def test_forest_keeps_each_rows_place(spark):
+    points = _points(spark, 300)
+    forest = md.classifier("random_forest", 300, 2, numTrees=5)
+    assert forest.getCacheNodeIds()
+    plain = md.classifier("random_forest", 300, 2, numTrees=5, cacheNodeIds=False)
+    assert forest.fit(points).toDebugString.split("\n")[1:] == plain.fit(points).toDebugString.split("\n")[1:]
