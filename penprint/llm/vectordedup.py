@@ -11,7 +11,8 @@ the threshold; recall against brute force is measured in the tests.
 Exact copies are grouped before the index (one row per (label, vector)), so a group of
 thousands of copies is one row there, and its inner links are counted from its size. Large
 cells are compared block by block: both sides are dealt into blocks of at most BLOCK rows
-and each pair of blocks is its own join key, so no cell is one task's work.
+and each pair of blocks is its own group, so no cell is one task's work. A block's vectors
+and the visits to it come to one task in a run, and a matrix product compares them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
@@ -34,6 +36,8 @@ SAMPLE = 20_000
 BLOCK = 2_000
 ITERATIONS = 25
 CELL_TABLE_BYTES = 64 << 20
+# More than a matrix product differs from a sum entry by entry.
+_ROUNDING = 1e-9
 
 
 def _clean(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,11 +145,62 @@ def _cells(groups: DataFrame, books, probes: int) -> DataFrame:
     return groups.select("rep", "v").mapInArrow(assign, "rep bigint, cell int, probes array<int>")
 
 
-def _cosine(a: str, b: str):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t)
-    na = F.aggregate(F.col(a), F.lit(0.0), lambda s, t: s + t * t)
-    nb = F.aggregate(F.col(b), F.lit(0.0), lambda s, t: s + t * t)
-    return dot / F.sqrt(na * nb)
+def _similar(va: np.ndarray, vb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``va`` and ``vb`` whose cosine is at least ``threshold`` (or no number).
+
+    One matrix product finds them; what lies within its rounding of the threshold is summed
+    again entry by entry.
+    """
+    with np.errstate(all="ignore"):
+        na, nb = (va * va).sum(1), (vb * vb).sum(1)
+        cosine = va @ vb.T / np.sqrt(na[:, None] * nb[None])
+        i, j = np.nonzero(~(cosine < threshold - _ROUNDING))
+        unsure = np.flatnonzero(~(cosine[i, j] > threshold + _ROUNDING))
+        for at in range(0, len(unsure), BLOCK):
+            some = unsure[at : at + BLOCK]
+            x, y = va[i[some]], vb[j[some]]
+            summed = [np.cumsum(p, axis=1)[:, -1] for p in (x * y, x * x, y * y)]
+            i[some[summed[0] / np.sqrt(summed[1] * summed[2]) < threshold]] = -1
+    return i[i >= 0], j[i >= 0]
+
+
+def _meet(threshold: float):
+    """Pairs of visits and indexed vectors of each block, which come in one run, index first."""
+
+    def met(batches):
+        block, ids, vectors = None, [], []
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            label, kind = batch.column("label"), batch.column("kind").to_numpy()
+            rep = batch.column("rep").to_numpy()
+            numbers = [batch.column(c).to_numpy() for c in ("cell", "pblock", "iblock")]
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            new = np.ones(n, bool)
+            new[1:] = pc.not_equal(label.slice(1), label.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            for x in (*numbers, kind):
+                new[1:] |= x[1:] != x[:-1]
+            borders = [*np.flatnonzero(new).tolist(), n]
+            for low, high in zip(borders, borders[1:]):
+                here = (label[low].as_py(), *(int(x[low]) for x in numbers))
+                if here != block:
+                    block, ids, vectors = here, [], []
+                if kind[low] == 0:
+                    ids.append(rep[low:high])
+                    vectors.append(v[low:high])
+                    continue
+                if len(ids) > 1:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                for at in range(low, high, BLOCK) if ids else ():
+                    top = min(high, at + BLOCK)
+                    i, j = _similar(v[at:top], vectors[0], threshold)
+                    a, b = rep[at:top][i], ids[0][j]
+                    other = a != b
+                    a, b = a[other], b[other]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return met
 
 
 def similar_pairs(groups: DataFrame, books, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
@@ -160,21 +215,22 @@ def similar_pairs(groups: DataFrame, books, threshold: float = THRESHOLD, probes
     n_cells = sizes.count()
     if n_cells * 32 <= CELL_TABLE_BYTES:
         sizes = F.broadcast(sizes)
+    # A label is compared by its text: any type does.
+    block = [F.col("label").cast("string").alias("label"), "cell"]
     index = placed.join(sizes, ["label", "cell"]).select(
-        "label", "cell", F.col("rep").alias("b"), F.col("v").alias("vb"),
+        *block, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pblock"),
         F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("iblock"),
-        F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pblock"),
+        F.lit(0).alias("kind"), "rep", "v",
     )
-    visits = placed.select("label", F.col("rep").alias("a"), F.col("v").alias("va"),
-                           F.explode("probes").alias("cell"))
+    visits = placed.select("label", "rep", "v", F.explode("probes").alias("cell"))
     visits = visits.join(sizes, ["label", "cell"]).select(
-        "label", "cell", "a", "va",
-        F.pmod(F.xxhash64("a"), F.col("nb")).cast("int").alias("pblock"),
+        *block, F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("pblock"),
         F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("iblock"),
+        F.lit(1).alias("kind"), "rep", "v",
     )
-    met = visits.join(index, ["label", "cell", "pblock", "iblock"]).where("a <> b")
-    found = met.where(_cosine("va", "vb") >= threshold)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = ["label", "cell", "pblock", "iblock"]
+    together = index.unionAll(visits).repartition(*keys).sortWithinPartitions(*keys, "kind")
+    return together.mapInArrow(_meet(threshold), "a bigint, b bigint").distinct()
 
 
 def near_duplicate_vectors(

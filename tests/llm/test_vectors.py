@@ -137,3 +137,36 @@ def test_near_duplicate_vectors_empty(spark):
     assert near_duplicate_vectors(_frame(spark, [])).collect() == []
     lone = near_duplicate_vectors(_frame(spark, [(1, None, 1), (2, [1.0], None)])).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in lone) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_cells_are_compared_by_matrix_products(spark, monkeypatch):
+    from penprint.llm import vectordedup as vd
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(50, 8)), rng.normal(size=(30, 8))
+    a[:4], b[0] = b[:4], [1e200] * 8  # equal vectors, and squares beyond a double
+    want = set()
+    with np.errstate(all="ignore"):
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                dot, na, nb = (np.cumsum(p)[-1] for p in (x * y, x * x, y * y))
+                want |= {(i, j)} if not dot / np.sqrt(na * nb) < 0.5 else set()
+    i, j = vd._similar(a, b, 0.5)
+    assert set(zip(i.tolist(), j.tolist())) == want and {(1, 1), (2, 2), (3, 3)} <= want
+    at_one = vd._similar(b[1:], b[1:], 1.0)  # on the threshold the sums decide
+    assert all(x in range(29) and x == y for x, y in zip(*at_one))
+
+    rows = [(i, (np.float32(rng.normal(size=6)) + (i % 5) * 3).tolist(), i % 2) for i in range(300)]
+    frame = _frame(spark, rows)
+    groups = vd._clean(frame)[1].selectExpr("vec_id as rep", "label", "v")
+    books = vd.fit_codebooks(groups, 100, 4)
+    found = vd.similar_pairs(groups, books, 0.97, 16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan
+    whole = sorted(found.collect())
+    vectors = [np.asarray(r[1]) for r in rows]
+    brute = [(i, j) for i in range(300) for j in range(i + 1, 300) if i % 2 == j % 2
+             and vectors[i] @ vectors[j] / math.sqrt((vectors[i] @ vectors[i]) * (vectors[j] @ vectors[j])) >= 0.97]
+    assert [tuple(r) for r in whole] == brute and len(brute) > 1000
+    monkeypatch.setattr(vd, "BLOCK", 7)
+    assert sorted(vd.similar_pairs(groups, books, 0.97, 16).collect()) == whole
