@@ -8,6 +8,8 @@ produced, without a cap, yet a head with a hundred equal children costs a hundre
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import bind, positions, run_lengths
@@ -16,6 +18,8 @@ from ..functions.trees import head_groups
 MIN_LEAVES = 3
 # Choices enumerated per inner explode; bounds the array a single row can hold.
 _STEP = 4096
+# Bags of so many different labels have their choices spelled out: 42 of them for six.
+_SPELLED = 6
 
 
 def _check(min_leaves: int) -> None:
@@ -57,14 +61,32 @@ def _choose(n: Column, c: Column, kind: str) -> Column:
     )
 
 
+def _spelled(min_leaves: int) -> tuple[Column, Column]:
+    """Whether a bag is small and without repeats, and then all its motifs.
+
+    Such bags are most of a parse; their motifs are plain concatenations, without a
+    number and a function for each choice.
+    """
+    size = F.size("bag")
+    known = range(min_leaves, _SPELLED + 1)
+    label = [F.get("bag", F.lit(i))["value"] for i in range(_SPELLED)]
+    motifs = F.lit(None).cast("array<string>")
+    for n in reversed(known):
+        chosen = [c for m in range(min_leaves, n + 1) for c in combinations(range(n), m)]
+        named = [F.concat("pos", F.lit(":"), F.concat_ws("+", *[label[i] for i in c])) for c in chosen]
+        motifs = F.when(size == n, F.array(*named)).otherwise(motifs)
+    return size.isin(list(known)) & F.forall("bag", lambda b: b["n"] == 1), motifs
+
+
 def expand_motifs(
     bags: DataFrame, min_leaves: int = MIN_LEAVES, count_type: str = "bigint"
 ) -> DataFrame:
     """``(text_id, chunk_id, motif, cnt)``, not yet summed over bags.
 
-    A choice is a number in mixed radix: digit ``l`` says how many of label ``l`` are
-    taken. Numbers are exploded in two steps, so no row holds more than 4096 of them
-    per step. Counts beyond BIGINT raise; ask for ``decimal(38,0)`` to go further.
+    Small bags without repeats have their choices spelled out. In others a choice is a
+    number in mixed radix: digit ``l`` says how many of label ``l`` are taken. Numbers are
+    exploded in two steps, so no row holds more than 4096 of them per step. Counts beyond
+    BIGINT raise; ask for ``decimal(38,0)`` to go further.
     """
     _check(min_leaves)
     zero = F.lit(0).cast("bigint")
@@ -80,30 +102,41 @@ def expand_motifs(
             F.slice("bag", F.lit(1), i), one, lambda acc, x: acc * (x["n"] + 1)
         ),
     )
-    staged = bags.withColumn("_choices", choices).withColumn("_radix", radix)
+    small, motifs = _spelled(min_leaves)
+    staged = bags.withColumn("_small", small)
+    staged = staged.withColumn("_choices", F.when(F.col("_small"), one).otherwise(choices))
+    staged = staged.withColumn("_radix", F.when(~F.col("_small"), radix))
     # Without repeated labels every choice is one way, and nothing needs to be counted.
-    staged = staged.withColumn("_plain", F.forall("bag", lambda b: b["n"] == 1))
+    staged = staged.withColumn("_plain", F.col("_small") | F.forall("bag", lambda b: b["n"] == 1))
     blocks = staged.withColumn(
         "_block",
         F.explode(F.sequence(zero, F.shiftright(F.col("_choices") - 1, 12))),
     )
     low = F.col("_block") * _STEP
+    numbers = F.sequence(low, F.least(low + _STEP, F.col("_choices")) - 1)
+    nothing = F.lit(None)
     numbered = blocks.withColumn(
-        "_k",
-        F.explode(F.sequence(low, F.least(low + _STEP, F.col("_choices")) - 1)),
-    )
+        "_e",
+        F.explode(
+            F.when(F.col("_small"), F.transform(motifs, lambda m: F.struct(nothing.cast("bigint").alias("k"), m.alias("motif"))))
+            .otherwise(F.transform(numbers, lambda k: F.struct(k.alias("k"), nothing.cast("string").alias("motif"))))
+        ),
+    ).withColumn("_k", F.col("_e.k"))
     taken = numbered.withColumn(
         "_taken",
-        F.transform(
-            "_radix",
-            lambda r, i: F.call_function(
-                "div", F.col("_k"), r
-            )
-            % (F.get("bag", i)["n"] + 1),
+        F.when(
+            ~F.col("_small"),
+            F.transform(
+                "_radix",
+                lambda r, i: F.call_function(
+                    "div", F.col("_k"), r
+                )
+                % (F.get("bag", i)["n"] + 1),
+            ),
         ),
     )
     wanted = taken.where(
-        F.aggregate("_taken", zero, lambda acc, c: acc + c) >= min_leaves
+        F.col("_small") | (F.aggregate("_taken", zero, lambda acc, c: acc + c) >= min_leaves)
     )
     leaves = F.flatten(
         F.transform(
@@ -120,10 +153,11 @@ def expand_motifs(
             lambda acc, w: (acc * w).cast(count_type),
         )
     )
+    numbered_motif = F.concat("pos", F.lit(":"), F.array_join(leaves, "+"))
     return wanted.select(
         "text_id",
         "chunk_id",
-        F.concat("pos", F.lit(":"), F.array_join(leaves, "+")).alias("motif"),
+        F.when(F.col("_small"), F.col("_e.motif")).otherwise(numbered_motif).alias("motif"),
         (F.col("heads") * ways).cast(count_type).alias("cnt"),
     )
 
